@@ -230,3 +230,6 @@ DEFAULT_FIXES = (
     "Check downstream dependencies for related errors",
 )
 MAX_FIXES = 5
+EXTERNAL_SOURCE = "gemini"
+DETERMINISTIC_SOURCE = "deterministic"
+REPORT_BASE = 1000

@@ -20,6 +20,7 @@ _NEEDS_ONE_OF = {
     "email": ("@",),
     "url": ("://",),
     "ip": (".",),
+    "size": ("b", "B"),
     "hex_prefixed": ("0x",),
     "path": ("/",),
     "quoted": ('"', "'"),

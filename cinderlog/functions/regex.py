@@ -14,20 +14,29 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = r"\p{L}\p{N}_"
+# ASCII ranges come first: they are one bitmap look-up in the matcher.
+_WORD = r"a-zA-Z0-9_\p{L}\p{N}"
 _SPACE = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-_DIGIT = r"\p{Nd}"
+_DIGIT = r"0-9\p{Nd}"
 _INSIDE = {"w": _WORD, "s": _SPACE, "d": _DIGIT}
 _OUTSIDE = {
     "w": f"[{_WORD}]",
     "s": f"[{_SPACE}]",
-    "d": _DIGIT,
+    "d": f"[{_DIGIT}]",
     "b": f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))",
 }
+# A boundary before something that starts with a word character, and one after something
+# that ends with one, need to look one way only. Looking at the next character first
+# rejects most positions at once.
+_WORD_START = re.compile(r"^\\b(\[0-9a-fA-F\]|\\d|[A-Za-z0-9])")
+_MIXED_END = re.compile(r"[.\-]\]\+\\b$")
 
 # What str.strip() removes and str.split() splits on.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 WHITESPACE_RUN = f"[{_SPACE}]+"
+# Words with one blank between them: nothing to collapse. A quick test for most lines.
+_PLAIN = r"[!-~\x{a1}-\x{167f}]"
+_COLLAPSED = f"^{_PLAIN}++(?: {_PLAIN}++)*+$"
 
 # Where str.splitlines() breaks.
 LINE_BREAKS = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
@@ -43,7 +52,14 @@ def java(pattern: str) -> str:
             return re.sub(r"\\([wsd])", lambda m: _INSIDE[m.group(1)], text)
         return _OUTSIDE.get(text[1], text)
 
-    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", spell, pattern)
+    before = after = ""
+    if start := _WORD_START.match(pattern):
+        before = f"(?={start.group(1)})(?<![\\w])"
+        pattern = pattern[2:]
+    if pattern.endswith(r"\b") and not _MIXED_END.search(pattern):
+        after = r"(?![\w])"
+        pattern = pattern[:-2]
+    return re.sub(r"\[(?:\\.|[^\]\\])*\]|\\.", spell, before + pattern + after)
 
 
 @lru_cache(maxsize=None)
@@ -71,4 +87,5 @@ def strip_right(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    return strip(F.regexp_replace(col, WHITESPACE_RUN, " "))
+    collapsed = strip(F.regexp_replace(col, WHITESPACE_RUN, " "))
+    return F.when(col.rlike(_COLLAPSED), col).otherwise(collapsed)
