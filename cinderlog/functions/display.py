@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def decimals(value: Column, places: int) -> Column:
     """Fixed decimals, halves to even, no thousands separators."""
-    return F.format_number(value.cast("double"), "0." + "0" * places if places else "0")
+    shape = "0." + "0" * places if places else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(shape))
 
 
 def signed(value: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from . import timestamps
+from .regex import let
 
 OBJECT = "map<string,variant>"
 
@@ -29,11 +30,6 @@ def kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def text_of(value: Column) -> Column:
     """A JSON value as text the way Python prints it; nested values stay JSON text."""
 
@@ -51,7 +47,7 @@ def text_of(value: Column) -> Column:
         )
 
     both = F.struct(kind(value).alias("kind"), value.cast("string").alias("plain"))
-    return _let(both, shown)
+    return let(both, shown)
 
 
 def is_filled(value: Column) -> Column:

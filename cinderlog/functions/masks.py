@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .regex import collapse_spaces, java
+from .regex import collapse_spaces, java, let
 
 _BY_NAME = {name: (pattern, sign) for name, pattern, sign in fixed.MASKS}
 
@@ -26,8 +26,8 @@ _NEEDS_ONE_OF = {
     "quoted": ('"', "'"),
     "percent": ("%",),
 }
-# These also need a digit. Masking never adds one, so one test per line is enough.
-_NEEDS_DIGIT = ("ts", "ip", "duration", "size", "percent", "number")
+# These also need a digit.
+_NEEDS_DIGIT = ("ts", "ip", "duration", "size", "hex_prefixed", "percent", "number")
 
 
 def mask(col: Column, name: str) -> Column:
@@ -36,24 +36,30 @@ def mask(col: Column, name: str) -> Column:
     return F.regexp_replace(col, java(pattern), sign)
 
 
+def _where_possible(col: Column, name: str) -> Column:
+    """One mask behind its cheap test."""
+    parts = _NEEDS_ONE_OF.get(name)
+    if not parts:
+        return mask(col, name)
+
+    def tested(text: Column) -> Column:
+        found = reduce(Column.__or__, [F.contains(text, F.lit(part)) for part in parts])
+        return F.when(found, mask(text, name)).otherwise(text)
+
+    return let(col, tested)
+
+
 def normalize(col: Column) -> Column:
-    """All masks in order, then white space collapsed, as one expression."""
-    for name, _, _ in fixed.MASKS:
-        col = mask(col, name)
-    return collapse_spaces(col)
-
-
-def with_normalized(df: DataFrame, source: str, target: str) -> DataFrame:
-    """``normalize`` as a chain of projections, each mask behind its cheap test."""
-    text = F.col(target)
-    df = df.withColumn(target, F.col(source)).withColumn("_digit", text.rlike(r"\p{Nd}"))
-    for name, _, _ in fixed.MASKS:
-        tests = [F.contains(text, F.lit(part)) for part in _NEEDS_ONE_OF.get(name, ())]
-        test = reduce(Column.__or__, tests) if tests else F.lit(True)
-        if name in _NEEDS_DIGIT:
-            test = F.col("_digit") & test
-        df = df.withColumn(target, F.when(test, mask(text, name)).otherwise(text))
-    return df.withColumn(target, collapse_spaces(text)).drop("_digit")
+    """All masks in order, then white space collapsed. A line without digits, and masking
+    never adds one, skips the masks that need them."""
+    names = [name for name, _, _ in fixed.MASKS]
+
+    def masked(text: Column) -> Column:
+        every = reduce(_where_possible, names, text)
+        few = reduce(_where_possible, [n for n in names if n not in _NEEDS_DIGIT], text)
+        return F.when(text.rlike(r"[0-9\p{Nd}]"), every).otherwise(few)
+
+    return collapse_spaces(let(col, masked))
 
 
 def tokens(masked: Column) -> Column:

@@ -74,6 +74,12 @@ def digit_class() -> str:
     return "[" + _DIGIT + "".join(f"\\x{{{ord(c):x}}}" for c in extra) + "]"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``. Keeps an expression
+    small wherever Spark copies it, for instance to push a filter down."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
@@ -87,5 +93,9 @@ def strip_right(col: Column) -> Column:
 
 
 def collapse_spaces(col: Column) -> Column:
-    collapsed = strip(F.regexp_replace(col, WHITESPACE_RUN, " "))
-    return F.when(col.rlike(_COLLAPSED), col).otherwise(collapsed)
+    def collapsed(text: Column) -> Column:
+        return F.when(text.rlike(_COLLAPSED), text).otherwise(
+            strip(F.regexp_replace(text, WHITESPACE_RUN, " "))
+        )
+
+    return let(col, collapsed)

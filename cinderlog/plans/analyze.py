@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.masks import with_normalized
+from ..functions.masks import normalize
 from ..operators import anomaly, correlation, frequency, incidents, mining, severity, templates
 from ..operators.parse import parse_lines, synthetic_clock
 from ..session import Workspace
@@ -41,9 +41,9 @@ class Analysis:
 def read_events(workspace: Workspace, lines: DataFrame, base_time: datetime | str) -> DataFrame:
     """Parse and mask every line once. Later passes read only the columns they need."""
     parsed = workspace.table(
-        with_normalized(parse_lines(lines), "message", "masked").withColumn(
-            "timed", F.col("ts").isNotNull()
-        ),
+        parse_lines(lines)
+        .withColumn("masked", normalize(F.col("message")))
+        .withColumn("timed", F.col("ts").isNotNull()),
         "parsed",
     )
     timed = parsed.filter("timed").drop("timed")
