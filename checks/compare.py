@@ -36,22 +36,23 @@ def rows(columns: list[str], data) -> list[tuple]:
     return sorted(tuple(plain(row[i]) for i in order) for row in data)
 
 
-def difference(spark, con, sf_dir: str, name: str) -> str | None:
-    """None if both agree, else what differs."""
+def difference(spark, con, sf_dir: str, name: str) -> tuple[str | None, int]:
+    """What differs, None if nothing does, and the number of rows."""
     ours = QUERIES[name](spark, sf_dir)
     mine = rows(ours.columns, ours.collect())
     if name not in ORACLES:
-        return None
+        return None, len(mine)
     result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
     theirs = rows(columns, result.fetchall())
     if sorted(ours.columns) != sorted(columns):
-        return f"columns {sorted(ours.columns)} / {sorted(columns)}"
+        return f"columns {sorted(ours.columns)} / {sorted(columns)}", len(mine)
     if mine != theirs:
         only_ours = sorted(set(mine) - set(theirs))[:2]
         only_theirs = sorted(set(theirs) - set(mine))[:2]
-        return f"rows {len(mine)} / {len(theirs)}: {str(only_ours)[:300]} / {str(only_theirs)[:300]}"
-    return None
+        rest = f"{str(only_ours)[:300]} / {str(only_theirs)[:300]}"
+        return f"rows {len(mine)} / {len(theirs)}: {rest}", len(mine)
+    return None, len(mine)
 
 
 def main() -> int:
@@ -64,12 +65,12 @@ def main() -> int:
             continue
         started = time.time()
         try:
-            problem = difference(spark, con, sf_dir, name)
+            problem, size = difference(spark, con, sf_dir, name)
         except Exception as error:  # noqa: BLE001 - report and go on
-            problem = f"{type(error).__name__}: {str(error)[:300]}"
+            problem, size = f"{type(error).__name__}: {str(error)[:300]}", 0
         mark = "ok  " if problem is None else "FAIL"
         checked = "" if name in ORACLES else " (no oracle)"
-        print(f"{mark} {time.time() - started:6.2f}s {name}{checked} {problem or ''}", flush=True)
+        print(f"{mark} {time.time() - started:6.2f}s {name} {size} rows{checked} {problem or ''}", flush=True)
         failed += problem is not None
     print(f"{failed} failed")
     return failed

@@ -42,8 +42,7 @@ def recent_span(n_buckets: Column) -> Column:
 
 @dataclass(frozen=True)
 class Window:
-    """The window's values as columns usable in any table: scalar subqueries, so they need
-    neither a join nor a trip to the driver."""
+    """The window's values as columns usable in any table, without a join."""
 
     start: Column
     seconds: Column
@@ -52,11 +51,19 @@ class Window:
 
     @classmethod
     def of(cls, window: DataFrame) -> Window:
-        def value(name: str) -> Column:
-            return window.select(name).scalar()
+        """As scalar subqueries of a plan that has not run yet."""
+        row = window.select(F.struct("*")).scalar()
+        return cls(row["window_start"], row["bucket_seconds"], row["n_buckets"], row["n_recent"])
 
+    @classmethod
+    def known(cls, window: DataFrame) -> Window:
+        """As literals; runs the plan and fetches its one row."""
+        row = window.withColumn("window_start", F.unix_micros("window_start")).first()
         return cls(
-            value("window_start"), value("bucket_seconds"), value("n_buckets"), value("n_recent")
+            F.timestamp_micros(F.lit(row["window_start"])),
+            F.lit(row["bucket_seconds"]).cast("bigint"),
+            F.lit(row["n_buckets"]),
+            F.lit(row["n_recent"]),
         )
 
 

@@ -163,8 +163,12 @@ def route(
     keys to the wildcard child."""
     depth = max(2, max_depth)
     columns = sequences.columns
-    routed = sequences.withColumn("_keys", routing_keys(F.col("tokens"), depth)).withColumn(
-        "leaf", F.size("tokens").cast("string")
+    # Written once: each level reads the few keys, not the tokens they come from.
+    routed = workspace.table(
+        sequences.withColumn("_keys", routing_keys(F.col("tokens"), depth)).withColumn(
+            "leaf", F.size("tokens").cast("string")
+        ),
+        "keys",
     )
     first_full = _first_full_level(routed, max_children)
     for level in range(depth):
@@ -352,11 +356,13 @@ def mine(
         .select("leaf", "created", F.col("created").alias("from_line"), "tokens"),
         "founders",
     )
+    done = [founders]
+    if founders.count() == sequences.count():
+        return founders
     remaining = workspace.table(
         work.join(founders.select(F.col("created").alias("first_line")), "first_line", "left_anti"),
         "remaining",
     )
-    done = [founders]
     size = first_block
     while (left := remaining.count()) > 0:
         place = W.partitionBy("leaf").orderBy("first_line")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_WIDTH = 1 << 20
+# Rows per block. Wide rows want narrow blocks: a block is sorted in one task.
+BLOCK_WIDTH = 1 << 16
 
 
 def prefix_sum(
@@ -20,7 +21,7 @@ def prefix_sum(
     """Adds ``target``: the sum of ``weight`` over all rows with a smaller ``order``.
 
     A block holds at most ``width`` rows because ``order`` is unique. The window over
-    the block totals sees one row per block: a million blocks for 10^12 rows.
+    the block totals sees one small row per ``width`` numbers: 16 million for 10^12 lines.
     """
     blocks = df.withColumn("_block", F.floor(F.col(order) / width)).withColumn(
         "_weight", weight.cast("bigint")

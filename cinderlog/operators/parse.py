@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import jsonline, timestamps
-from ..functions.regex import java, strip, strip_left
+from ..functions.regex import WHITESPACE, java, strip, strip_left
 from .numbering import prefix_sum
 
 _TS = java(fixed.TS_PREFIX)
@@ -37,7 +37,7 @@ def split_timestamp(lines: DataFrame) -> DataFrame:
         lines.withColumn("prefix", F.regexp_extract("raw", _TS, 0))
         .withColumn(
             "text_ts",
-            F.when(F.col("prefix") != "", timestamps.leading(F.regexp_extract("raw", _TS, 1))),
+            F.when(F.col("prefix") != "", timestamps.leading(strip(F.col("prefix")))),
         )
         .withColumn("rest", _after(F.col("raw"), F.col("prefix")))
         .drop("prefix")
@@ -50,7 +50,7 @@ def split_level(lines: DataFrame) -> DataFrame:
         lines.withColumn("prefix", F.regexp_extract("rest", _LEVEL, 0))
         .withColumn(
             "text_level",
-            jsonline.known_level(F.upper(F.regexp_extract("rest", _LEVEL, 1))),
+            jsonline.known_level(F.upper(F.btrim(F.col("prefix"), F.lit(WHITESPACE + "[]()")))),
         )
         .withColumn(
             "rest",

@@ -11,7 +11,7 @@ from .numbering import number_rows
 from .severity import level_rank
 
 
-def event_facts(events: DataFrame, keys: list[str]) -> DataFrame:
+def event_facts(events: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """Events counted by ``keys`` (which include ``level`` and ``service``). Everything a
     template needs except its sample lines follows from this much smaller table."""
     return events.groupBy(*keys).agg(
@@ -19,6 +19,7 @@ def event_facts(events: DataFrame, keys: list[str]) -> DataFrame:
         F.min("line_no").alias("first_line"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
+        *more,
     )
 
 
@@ -75,12 +76,11 @@ def template_id(number: Column) -> Column:
 
 
 def number_templates(templates: DataFrame, created: str = "created") -> DataFrame:
-    """Adds ``cluster_id``, counted in the order of creation."""
-    return (
-        number_rows(templates, created, "_number")
-        .withColumn("cluster_id", template_id(F.col("_number")))
-        .drop("_number")
-    )
+    """Adds ``cluster_id``, counted in the order of creation. Only the creating lines are
+    numbered; the wide rows stay where they are or are joined by a unique key."""
+    numbered = number_rows(templates.select(created), created, "_number")
+    ids = numbered.select(created, template_id(F.col("_number")).alias("cluster_id"))
+    return templates.join(ids, created)
 
 
 def by_volume(templates: DataFrame) -> DataFrame:

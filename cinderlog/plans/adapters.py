@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.lines import table_lines
+from ..sources.lines import spread, table_lines
 
 SERVICES = (
     "payments-api",
@@ -40,7 +40,7 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def _text(*parts: Column | str) -> Column:

@@ -56,7 +56,7 @@ def read_events(workspace: Workspace, lines: DataFrame, base_time: datetime | st
 
 
 def _facts(
-    workspace: Workspace, events: DataFrame, steps: DataFrame, window: DataFrame
+    workspace: Workspace, events: DataFrame, steps: DataFrame, view: frequency.Window
 ) -> DataFrame:
     """Events counted by template, level, service and bucket.
 
@@ -64,19 +64,20 @@ def _facts(
     side and only the counts are joined. Sequences that change their template are split by
     line first.
     """
-    view = frequency.Window.of(window)
     named = events.select(
         mining.sequence_text(F.col("masked")).alias("sequence"),
         "line_no",
+        F.when(F.col("masked") != "", F.col("line_no")).alias("worded_line"),
         "ts",
         "level",
         "service",
         frequency.bucket_index(F.col("ts"), view).alias("bucket_idx"),
     )
     keys = ["sequence", "level", "service", "bucket_idx"]
+    worded = F.min("worded_line").alias("worded_line")
     moving = steps.filter(F.col("to_line").isNotNull()).select("sequence").distinct()
     fixed_steps = steps.join(moving, "sequence", "left_anti").select("sequence", "created")
-    facts = templates.event_facts(named, keys).join(fixed_steps, "sequence")
+    facts = templates.event_facts(named, keys, worded).join(fixed_steps, "sequence")
     if not moving.isEmpty():
         moved = (
             named.join(steps.join(moving, "sequence", "left_semi"), "sequence")
@@ -86,7 +87,7 @@ def _facts(
             )
             .drop("from_line", "to_line")
         )
-        facts = facts.unionByName(templates.event_facts(moved, [*keys, "created"]))
+        facts = facts.unionByName(templates.event_facts(moved, [*keys, "created"], worded))
     return workspace.table(facts, "facts")
 
 
@@ -109,9 +110,9 @@ def _samples(
     first = templates.first_lines(first, "created")
     # A template can begin with empty messages; its example is the first other one.
     worded = (
-        facts.filter(F.col("sequence") != fixed.EMPTY_TOKEN)
-        .groupBy("created")
-        .agg(F.min("first_line").alias("line_no"))
+        facts.groupBy("created")
+        .agg(F.min("worded_line").alias("line_no"))
+        .filter(F.col("line_no").isNotNull())
         .withColumn("place", F.lit(0))
     )
     chosen = workspace.table(first.unionByName(worded.select(*first.columns)), "sample-lines")
@@ -171,8 +172,8 @@ def analyze(
     versions = mining.mine(workspace, routed, sim_threshold)
     steps = workspace.table(mining.sequence_steps(routed, versions), "steps")
 
-    facts = _facts(workspace, events, steps, window)
-    view = frequency.Window.of(window)
+    view = frequency.Window.known(window)
+    facts = _facts(workspace, events, steps, view)
     names = mining.latest(versions).select("created", "tokens")
     mined = (
         templates.totals(facts, "created")

@@ -403,7 +403,7 @@ def t01_routing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def t02_leaf_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     workspace = Workspace(spark)
-    sequences = workspace.table(_maskable_sequences(spark, sf_dir), "sequences")
+    sequences = _maskable_sequences(spark, sf_dir)
     return mining.route(workspace, sequences).select("first_line", "events", "leaf")
 
 
@@ -440,7 +440,7 @@ def t05_mine_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = mining.distinct_sequences(
         rows.withColumn("masked", masks.normalize(F.col("message")))
     )
-    routed = workspace.table(mining.route(workspace, workspace.table(sequences, "seq")), "routed")
+    routed = workspace.table(mining.route(workspace, sequences), "routed")
     versions = mining.mine(workspace, routed)
     return templates.number_templates(mining.latest(versions)).select(
         "cluster_id", "created", mining.pattern(F.col("tokens")).alias("template")
@@ -456,7 +456,7 @@ def t05_mine_document_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = mining.distinct_sequences(
         lines.withColumn("masked", masks.normalize(F.col("raw")))
     )
-    routed = workspace.table(mining.route(workspace, workspace.table(sequences, "seq")), "routed")
+    routed = workspace.table(mining.route(workspace, sequences), "routed")
     versions = mining.mine(workspace, routed)
     return templates.number_templates(mining.latest(versions)).select(
         "cluster_id", "created", mining.pattern(F.col("tokens")).alias("template")

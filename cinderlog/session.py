@@ -14,6 +14,8 @@ SQL_SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # "the first n per group" is cut in the map tasks, also for mining's larger n
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 

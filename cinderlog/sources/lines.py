@@ -35,11 +35,22 @@ def read_text(
     return numbered.select("source_name", "line_no", "raw")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spreads a scan with fewer splits than cores, such as one small or unsplittable file.
+    A scan that keeps all cores busy is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+# Texts per block when the lines of a table are numbered; one task sorts a block.
+TEXTS_PER_BLOCK = 1 << 12
+
+
 def table_lines(df: DataFrame, text: str, order: str) -> DataFrame:
     """Texts of a table as lines ``(order, line_no, raw)``: the texts follow each other in
     the order of a unique whole-number column, numbered from 1."""
     split = df.select(order, split_lines(F.col(text)).alias("_lines"))
-    counted = prefix_sum(split, order, F.size("_lines"), "_before")
+    counted = prefix_sum(split, order, F.size("_lines"), "_before", TEXTS_PER_BLOCK)
     return counted.select(
         order, "_before", F.posexplode("_lines").alias("_place", "raw")
     ).select(order, (F.col("_before") + F.col("_place") + 1).alias("line_no"), "raw")
