@@ -64,6 +64,10 @@ def normalize(col: Column) -> Column:
 
 def tokens(masked: Column) -> Column:
     """Tokens of a normalised text; an empty text gives the one token ``<empty>``."""
-    return F.when(masked == "", F.array(F.lit(fixed.EMPTY_TOKEN))).otherwise(
-        F.split(masked, " ", -1)
+    parts = F.split(masked, " ", -1)
+    return let(
+        parts,
+        lambda found: F.when(
+            found == F.array(F.lit("")), F.array(F.lit(fixed.EMPTY_TOKEN))
+        ).otherwise(found),
     )

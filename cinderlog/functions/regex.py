@@ -29,6 +29,7 @@ _OUTSIDE = {
 # that ends with one, need to look one way only. Looking at the next character first
 # rejects most positions at once.
 _WORD_START = re.compile(r"^\\b(\[0-9a-fA-F\]|\\d|[A-Za-z0-9])")
+_MIXED_START = re.compile(r"^\\b(\[[^\]]+\])\+@")
 _MIXED_END = re.compile(r"[.\-]\]\+\\b$")
 
 # What str.strip() removes and str.split() splits on.
@@ -56,6 +57,10 @@ def java(pattern: str) -> str:
     if start := _WORD_START.match(pattern):
         before = f"(?={start.group(1)})(?<![\\w])"
         pattern = pattern[2:]
+    elif start := _MIXED_START.match(pattern):
+        # the run cannot contain the sign after it, so giving characters back never helps
+        before = f"(?={start.group(1)})"
+        pattern = pattern.replace("+@", "++@", 1)
     if pattern.endswith(r"\b") and not _MIXED_END.search(pattern):
         after = r"(?![\w])"
         pattern = pattern[:-2]

@@ -41,6 +41,7 @@ FIRST_BLOCK = 512
 LARGEST_BLOCK = 4096
 LEAF_TEMPLATES = 20_000
 ROWS_PER_FOLD = 20_000
+BROADCAST_STEPS = 100_000
 
 
 # --- token level -------------------------------------------------------------------
@@ -372,8 +373,8 @@ def mine(
             .drop("_place")
         )
         versions = reduce(DataFrame.unionByName, done)
-        old = latest(versions).join(remaining.select("leaf").distinct(), "leaf", "left_semi")
-        old = workspace.table(old, "templates")
+        active = remaining.select("leaf").distinct()
+        old = workspace.table(latest(versions.join(active, "leaf", "left_semi")), "templates")
         known = old.count()
         if known > leaf_templates:
             old = _touchable(workspace, block, old, sim_threshold, leaf_templates)
@@ -437,7 +438,8 @@ def assign_events(
 
     Sequences with more than ``hot_share`` of the events (at most 512 of them, by
     arithmetic) are joined by broadcast, so their events stay where they are; no key of
-    the remaining shuffle join is larger than that share.
+    the remaining shuffle join is larger than that share. Should they have so many steps
+    that a broadcast does not pay, the shuffle join's skew handling splits them.
     """
     named = events.withColumn("sequence", sequence_text(F.col("masked")))
     total = sequences.agg(F.sum("events").alias("total")).scalar()
@@ -455,6 +457,8 @@ def assign_events(
             .drop("from_line", "to_line", "sequence")
         )
 
-    return joined(named, F.broadcast(hot_steps)).unionByName(
+    if hot_steps.count() <= BROADCAST_STEPS:
+        hot_steps = F.broadcast(hot_steps)
+    return joined(named.join(F.broadcast(hot), "sequence", "left_semi"), hot_steps).unionByName(
         joined(named.join(F.broadcast(hot), "sequence", "left_anti"), cold_steps)
     )

@@ -11,19 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows per block. Wide rows want narrow blocks: a block is sorted in one task.
 BLOCK_WIDTH = 1 << 16
 
 
-def prefix_sum(
-    df: DataFrame, order: str, weight: Column, target: str, width: int = BLOCK_WIDTH
+def running_sum(
+    narrow: DataFrame, order: str, weight: Column, target: str, width: int = BLOCK_WIDTH
 ) -> DataFrame:
     """Adds ``target``: the sum of ``weight`` over all rows with a smaller ``order``.
 
-    A block holds at most ``width`` rows because ``order`` is unique. The window over
-    the block totals sees one small row per ``width`` numbers: 16 million for 10^12 lines.
+    A block holds at most ``width`` rows because ``order`` is unique. The window over the
+    block totals sees one small row per ``width`` numbers: 16 million for 10^12 lines.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(order) / width)).withColumn(
+    blocks = narrow.withColumn("_block", F.floor(F.col(order) / width)).withColumn(
         "_weight", weight.cast("bigint")
     )
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
@@ -43,9 +42,20 @@ def prefix_sum(
     )
 
 
+def prefix_sum(
+    df: DataFrame, order: str, weight: Column, target: str, width: int = BLOCK_WIDTH
+) -> DataFrame:
+    """``running_sum`` for tables with wide rows: only key and weight are sorted in blocks;
+    the rows themselves are joined by the unique key, or stay in place where the sums are
+    small enough to broadcast."""
+    narrow = df.select(order, weight.alias("_value"))
+    sums = running_sum(narrow, order, F.col("_value"), target, width)
+    return df.join(sums.select(order, target), order)
+
+
 def number_rows(df: DataFrame, order: str, target: str, width: int = BLOCK_WIDTH) -> DataFrame:
     """Adds ``target``: 1 for the row with the smallest ``order``, then 2, 3, ..."""
-    return prefix_sum(df, order, F.lit(1), target, width).withColumn(
+    return running_sum(df, order, F.lit(1), target, width).withColumn(
         target, F.col(target) + 1
     )
 

@@ -116,9 +116,16 @@ def _samples(
         .withColumn("place", F.lit(0))
     )
     chosen = workspace.table(first.unionByName(worded.select(*first.columns)), "sample-lines")
-    if chosen.count() <= BROADCAST_LINES:
+    size = chosen.agg(
+        F.count("*").alias("rows"), F.min("line_no").alias("first"), F.max("line_no").alias("last")
+    ).first()
+    if size["rows"] <= BROADCAST_LINES:
         chosen = F.broadcast(chosen)
-    texts = events.select("line_no", "raw", "message").join(chosen, "line_no")
+    # The range lets the scan skip row groups that hold no chosen line.
+    texts = events.select("line_no", "raw", "message").filter(
+        F.col("line_no").between(size["first"], size["last"])
+    )
+    texts = texts.join(chosen, "line_no")
     raw_lines = F.array_sort(
         F.collect_list(F.when(F.col("place") > 0, F.struct("place", "raw")))
     )

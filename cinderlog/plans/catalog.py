@@ -378,9 +378,11 @@ def n14_collapse_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def n15_masked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = masks.tokens(masks.normalize(F.col("raw")))
-    return adapters.maskable_lines(spark, sf_dir).select(
-        "line_key", F.size(tokens).alias("n_tokens"), F.array_join(tokens, "|").alias("tokens")
+    lines = adapters.maskable_lines(spark, sf_dir).withColumn(
+        "tokens", masks.tokens(masks.normalize(F.col("raw")))
+    )
+    return lines.select(
+        "line_key", F.size("tokens").alias("n_tokens"), F.array_join("tokens", "|").alias("tokens")
     )
 
 

@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cinderlog.functions.masks import normalize
 from cinderlog.operators import mining, templates
+from cinderlog.plans import adapters
 from cinderlog.plans.analyze import analyze
 
 
@@ -80,6 +83,17 @@ def test_default_sizes_on_one_wide_leaf(spark, workspace):
     assert mined(spark, workspace, lines, first_block=64) == sequential(lines)
 
 
+def test_all_lines_of_the_documents(spark, workspace):
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no driver tables")
+    masked = adapters.document_lines(spark, folder).select(
+        "line_no", normalize(F.col("raw")).alias("masked")
+    )
+    lines = [(r.line_no, r.masked) for r in masked.orderBy("line_no").collect()]
+    assert mined(spark, workspace, lines) == sequential(lines)
+
+
 def test_threshold_above_one_is_refused(spark, workspace):
     with pytest.raises(ValueError):
         mining.mine(workspace, None, 1.5)
