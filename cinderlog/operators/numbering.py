@@ -46,11 +46,17 @@ def prefix_sum(
     df: DataFrame, order: str, weight: Column, target: str, width: int = BLOCK_WIDTH
 ) -> DataFrame:
     """``running_sum`` for tables with wide rows: only key and weight are sorted in blocks;
-    the rows themselves are joined by the unique key, or stay in place where the sums are
-    small enough to broadcast."""
+    the rows themselves are joined by the unique key."""
     narrow = df.select(order, weight.alias("_value"))
     sums = running_sum(narrow, order, F.col("_value"), target, width)
-    return df.join(sums.select(order, target), order)
+    return join_narrow(df, sums.select(order, target), order)
+
+
+def join_narrow(wide: DataFrame, narrow: DataFrame, key: str) -> DataFrame:
+    """Joins a few columns to wide rows by a unique key. Tasks hash the narrow side; the
+    wide rows are neither sorted nor taken for the side to broadcast, and keep their
+    parallelism."""
+    return wide.join(narrow.hint("shuffle_hash"), key)
 
 
 def number_rows(df: DataFrame, order: str, target: str, width: int = BLOCK_WIDTH) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .numbering import number_rows
+from .numbering import join_narrow, number_rows
 from .severity import level_rank
 
 
@@ -80,7 +80,7 @@ def number_templates(templates: DataFrame, created: str = "created") -> DataFram
     numbered; the wide rows stay where they are or are joined by a unique key."""
     numbered = number_rows(templates.select(created), created, "_number")
     ids = numbered.select(created, template_id(F.col("_number")).alias("cluster_id"))
-    return templates.join(ids, created)
+    return join_narrow(templates, ids, created)
 
 
 def by_volume(templates: DataFrame) -> DataFrame:

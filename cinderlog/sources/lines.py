@@ -30,7 +30,7 @@ def read_text(
         F.make_valid_utf8("value").alias("raw"),
     )
     if unicode_breaks:
-        read = read.withColumn("raw", F.explode(split_lines(F.col("raw"))))
+        read = read.withColumn("raw", F.explode_outer(split_lines(F.col("raw"))))
     numbered = in_file_order(read.withColumn("source_name", F.col("_path")), "line_no")
     return numbered.select("source_name", "line_no", "raw")
 
@@ -45,8 +45,11 @@ def spread(scan: DataFrame) -> DataFrame:
 def table_lines(df: DataFrame, text: str, order: str) -> DataFrame:
     """Texts of a table as lines ``(order, line_no, raw)``: the texts follow each other in
     the order of a unique whole-number column, numbered from 1."""
-    split = df.select(order, split_lines(F.col(text)).alias("_lines"))
+    # A text has at least one line, so the outer form gives the same rows; it spares the
+    # split that Spark would add to drop empty lists at the scan.
+    present = df.filter(F.col(text).isNotNull())
+    split = present.select(order, split_lines(F.col(text)).alias("_lines"))
     counted = prefix_sum(split, order, F.size("_lines"), "_before")
     return counted.select(
-        order, "_before", F.posexplode("_lines").alias("_place", "raw")
+        order, "_before", F.posexplode_outer("_lines").alias("_place", "raw")
     ).select(order, (F.col("_before") + F.col("_place") + 1).alias("line_no"), "raw")
