@@ -431,6 +431,13 @@ def sequence_steps(sequences: DataFrame, versions: DataFrame) -> DataFrame:
     )
 
 
+def at_line() -> Column:
+    """Whether a step holds at the line."""
+    return (F.col("line_no") >= F.col("from_line")) & (
+        F.col("to_line").isNull() | (F.col("line_no") < F.col("to_line"))
+    )
+
+
 def assign_events(
     events: DataFrame, sequences: DataFrame, steps: DataFrame, hot_share: float = 1 / 512
 ) -> DataFrame:
@@ -446,14 +453,11 @@ def assign_events(
     hot = sequences.filter(F.col("events") > total * hot_share).select("sequence")
     hot_steps = steps.join(F.broadcast(hot), "sequence", "left_semi")
     cold_steps = steps.join(F.broadcast(hot), "sequence", "left_anti")
-    at_line = (F.col("line_no") >= F.col("from_line")) & (
-        F.col("to_line").isNull() | (F.col("line_no") < F.col("to_line"))
-    )
 
     def joined(part: DataFrame, part_steps: DataFrame) -> DataFrame:
         return (
             part.join(part_steps, "sequence")
-            .filter(at_line)
+            .filter(at_line())
             .drop("from_line", "to_line", "sequence")
         )
 

@@ -55,14 +55,34 @@ def read_events(workspace: Workspace, lines: DataFrame, base_time: datetime | st
     )
 
 
+@dataclass(frozen=True)
+class _Steps:
+    """Steps of the texts that stay with one template, and of those that change it (None if
+    there are none, which is the rule)."""
+
+    staying: DataFrame
+    moving: DataFrame | None
+
+    @classmethod
+    def of(cls, steps: DataFrame) -> _Steps:
+        moved = steps.filter(F.col("to_line").isNotNull()).select("sequence").distinct()
+        staying = steps.join(moved, "sequence", "left_anti").select("sequence", "created")
+        moving = steps.join(moved, "sequence", "left_semi")
+        return cls(staying, None if moved.isEmpty() else moving)
+
+    def moved_events(self, events: DataFrame) -> DataFrame:
+        """Events of moving texts with ``created``, the template at their line."""
+        found = events.join(self.moving, "sequence").filter(mining.at_line())
+        return found.drop("from_line", "to_line")
+
+
 def _facts(
-    workspace: Workspace, events: DataFrame, steps: DataFrame, view: frequency.Window
+    workspace: Workspace, events: DataFrame, steps: _Steps, view: frequency.Window
 ) -> DataFrame:
     """Events counted by template, level, service and bucket.
 
-    Most sequences stay with one template, so events are counted per sequence on the map
-    side and only the counts are joined. Sequences that change their template are split by
-    line first.
+    Most texts stay with one template, so events are counted per text on the map side and
+    only the counts are joined. Texts that change their template are split by line first.
     """
     named = events.select(
         mining.sequence_text(F.col("masked")).alias("sequence"),
@@ -75,38 +95,23 @@ def _facts(
     )
     keys = ["sequence", "level", "service", "bucket_idx"]
     worded = F.min("worded_line").alias("worded_line")
-    moving = steps.filter(F.col("to_line").isNotNull()).select("sequence").distinct()
-    fixed_steps = steps.join(moving, "sequence", "left_anti").select("sequence", "created")
-    facts = templates.event_facts(named, keys, worded).join(fixed_steps, "sequence")
-    if not moving.isEmpty():
-        moved = (
-            named.join(steps.join(moving, "sequence", "left_semi"), "sequence")
-            .filter(
-                (F.col("line_no") >= F.col("from_line"))
-                & (F.col("to_line").isNull() | (F.col("line_no") < F.col("to_line")))
-            )
-            .drop("from_line", "to_line")
-        )
+    facts = templates.event_facts(named, keys, worded).join(steps.staying, "sequence")
+    if steps.moving is not None:
+        moved = steps.moved_events(named)
         facts = facts.unionByName(templates.event_facts(moved, [*keys, "created"], worded))
     return workspace.table(facts, "facts")
 
 
 def _samples(
-    workspace: Workspace, events: DataFrame, steps: DataFrame, facts: DataFrame
+    workspace: Workspace, events: DataFrame, steps: _Steps, facts: DataFrame
 ) -> DataFrame:
     """``(created, example, examples)``: the first message that is not empty and the first
     raw lines. Lines are chosen by number alone; texts are fetched for the chosen ones."""
     named = events.select(mining.sequence_text(F.col("masked")).alias("sequence"), "line_no")
-    moving = steps.filter(F.col("to_line").isNotNull()).select("sequence").distinct()
-    fixed_steps = steps.join(moving, "sequence", "left_anti").select("sequence", "created")
-    first = templates.first_lines(named, "sequence").join(fixed_steps, "sequence")
+    first = templates.first_lines(named, "sequence").join(steps.staying, "sequence")
     first = first.select("created", "line_no")
-    if not moving.isEmpty():
-        moved = named.join(steps.join(moving, "sequence", "left_semi"), "sequence").filter(
-            (F.col("line_no") >= F.col("from_line"))
-            & (F.col("to_line").isNull() | (F.col("line_no") < F.col("to_line")))
-        )
-        first = first.unionByName(moved.select("created", "line_no"))
+    if steps.moving is not None:
+        first = first.unionByName(steps.moved_events(named).select("created", "line_no"))
     first = templates.first_lines(first, "created")
     # A template can begin with empty messages; its example is the first other one.
     worded = (
@@ -180,13 +185,14 @@ def analyze(
     steps = workspace.table(mining.sequence_steps(routed, versions), "steps")
 
     view = frequency.Window.known(window)
-    facts = _facts(workspace, events, steps, view)
+    parted = _Steps.of(steps)
+    facts = _facts(workspace, events, parted, view)
     names = mining.latest(versions).select("created", "tokens")
     mined = (
         templates.totals(facts, "created")
         .join(templates.services(facts, "created"), "created", "left")
         .join(frequency.dense_counts(facts, "created", view), "created")
-        .join(_samples(workspace, events, steps, facts), "created")
+        .join(_samples(workspace, events, parted, facts), "created")
         .join(names, "created")
         .withColumn(
             "services", F.coalesce("services", F.create_map().cast("map<string,bigint>"))
