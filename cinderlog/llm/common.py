@@ -60,10 +60,11 @@ def clean_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
-def content_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit key of (id, text); rows that share it and their id are copies of one row."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal or both null columns, which the result holds once."""
+    other = right.select(*[F.col(n).alias(f"_right_{n}") if n in names else F.col(n) for n in right.columns])
+    both = [left[n].eqNullSafe(other[f"_right_{n}"]) for n in names]
+    on = both[0]
+    for more in both[1:]:
+        on = on & more
+    return left.join(other, on, how).drop(*[f"_right_{n}" for n in names])

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from cinderlog.llm.decontamination import OP5_SQL, op5_decontamination
+from cinderlog.llm.minhash import OP8_SQL, op8_minhash
 from cinderlog.llm.packing import op1_packing
 from cinderlog.llm.token_counts import op2_token_counts
 
-LLM_QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts)}
-LLM_ORACLES: dict[str, str] = {}
+LLM_QUERIES = {
+    f.__name__: f for f in (op1_packing, op2_token_counts, op5_decontamination, op8_minhash)
+}
+LLM_ORACLES = {"op5_decontamination": OP5_SQL, "op8_minhash": OP8_SQL}
