@@ -6,9 +6,10 @@ from cinderlog.llm.decontamination import OP5_SQL, op5_decontamination
 from cinderlog.llm.line_dedup import op6_line_dedup
 from cinderlog.llm.minhash import OP8_SQL, op8_minhash
 from cinderlog.llm.packing import op1_packing
+from cinderlog.llm.secrets import op3_secrets
 from cinderlog.llm.token_counts import op2_token_counts
 
 LLM_QUERIES = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op5_decontamination, op6_line_dedup, op8_minhash)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_secrets, op5_decontamination, op6_line_dedup, op8_minhash)
 }
 LLM_ORACLES = {"op5_decontamination": OP5_SQL, "op8_minhash": OP8_SQL}
