@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cinderlog.llm.decontamination import OP5_SQL, op5_decontamination
+from cinderlog.llm.html_text import op9_html
 from cinderlog.llm.language import op4_language
 from cinderlog.llm.line_dedup import op6_line_dedup
 from cinderlog.llm.minhash import OP8_SQL, op8_minhash
@@ -11,6 +12,6 @@ from cinderlog.llm.secrets import op3_secrets
 from cinderlog.llm.token_counts import op2_token_counts
 
 LLM_QUERIES = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op3_secrets, op4_language, op5_decontamination, op6_line_dedup, op8_minhash)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_secrets, op4_language, op5_decontamination, op6_line_dedup, op8_minhash, op9_html)
 }
 LLM_ORACLES = {"op5_decontamination": OP5_SQL, "op8_minhash": OP8_SQL}
