@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cinderlog.llm.ann import op7_ann
 from cinderlog.llm.decontamination import OP5_SQL, op5_decontamination
 from cinderlog.llm.html_text import op9_html
 from cinderlog.llm.language import op4_language
@@ -12,6 +13,6 @@ from cinderlog.llm.secrets import op3_secrets
 from cinderlog.llm.token_counts import op2_token_counts
 
 LLM_QUERIES = {
-    f.__name__: f for f in (op1_packing, op2_token_counts, op3_secrets, op4_language, op5_decontamination, op6_line_dedup, op8_minhash, op9_html)
+    f.__name__: f for f in (op1_packing, op2_token_counts, op3_secrets, op4_language, op5_decontamination, op6_line_dedup, op7_ann, op8_minhash, op9_html)
 }
 LLM_ORACLES = {"op5_decontamination": OP5_SQL, "op8_minhash": OP8_SQL}
