@@ -67,4 +67,7 @@ def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inn
     on = both[0]
     for more in both[1:]:
         on = on & more
-    return left.join(other, on, how).drop(*[f"_right_{n}" for n in names])
+    joined = left.join(other, on, how)
+    if how in ("left_anti", "left_semi"):
+        return joined
+    return joined.drop(*[f"_right_{n}" for n in names])
