@@ -33,6 +33,12 @@ def r6(expression: str) -> str:
 oracle("s01_table_lines", "SELECT doc_id, line_no, raw FROM doc_lines", "doc_lines")
 oracle("s02_mixed_format_lines", "SELECT line_no, ts, level, service, message FROM log_rows", "log_rows")
 oracle("s03_drop_blank", "SELECT line_no, raw FROM doc_lines WHERE trim(raw) <> ''", "doc_lines")
+oracle(
+    "s04_valid_utf8",
+    """SELECT line_no, CASE WHEN line_no % 3 <> 1 THEN chr(65533) ELSE '' END || raw ||
+       CASE WHEN line_no % 3 <> 0 THEN chr(65533) ELSE '' END AS raw FROM doc_lines""",
+    "doc_lines",
+)
 oracle(
     "s05_numbered_file_lines",
     f"SELECT row_number() OVER (ORDER BY line_no) AS line_no, {TEXT_LINE} AS raw FROM log_rows",
@@ -74,9 +80,17 @@ oracle(
     f"""SELECT incident_id, severity, title, coalesce(primary_service, '') AS service, cluster_id,
         printf('%.2f', confidence) AS confidence, status, printf('%.2f', anomaly_score) AS anomaly_score,
         printf('%.0f', growth_pct) AS growth_pct, count, {iso('first_seen')} AS first_seen,
-        {iso('last_seen')} AS last_seen FROM inc""",
+        {iso('last_seen')} AS last_seen, row_number() OVER (ORDER BY {SEV_RANK} DESC, confidence DESC, rank) AS place
+        FROM inc""",
     "inc",
 )
+oracle(
+    "s11_empty_input",
+    """SELECT 1 AS run_id, 0 AS event_count, 0 AS parsed_count, 0 AS unparsed_count, 0 AS cluster_count,
+       0 AS incident_count, TIMESTAMP '2024-01-01' AS window_start, TIMESTAMP '2024-01-01' AS window_end,
+       300 AS bucket_seconds, 5 AS figures, 0.0::DOUBLE AS total, 100 AS health_score,
+       'All systems operational' AS health_summary""",
+)
 oracle(
     "s12_stored_buckets",
     """SELECT cluster_id, idx AS bucket_idx, CAST(bucket_ts AS TIMESTAMP) AS bucket_ts, c AS events
@@ -101,10 +115,12 @@ oracle(
 )
 oracle(
     "p04_timestamp_forms",
-    """SELECT event_id + 1 AS line_no, CASE event_id % 7 WHEN 0 THEN date_trunc('second', ts)
+    """SELECT event_id + 1 AS line_no, CASE event_id % 12 WHEN 0 THEN date_trunc('second', ts)
        WHEN 1 THEN date_trunc('milliseconds', ts) WHEN 2 THEN ts
        WHEN 3 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 4 THEN date_trunc('milliseconds', ts)
-       WHEN 5 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) END AS ts FROM events""",
+       WHEN 5 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) WHEN 7 THEN date_trunc('second', ts) WHEN 8 THEN ts
+       WHEN 9 THEN date_trunc('minute', ts) WHEN 10 THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
+       WHEN 11 THEN date_trunc('second', ts) - INTERVAL 19815 SECOND END AS ts FROM events""",
 )
 _words = [name.lower() for name in fixed.LEVEL_RANK] + ["note", "", "severe"]
 oracle(
@@ -210,7 +226,6 @@ oracle(
     "masked_rows", "ids",
 )
 oracle("t07_template_ids", "SELECT cluster_id, template AS sequence FROM ids", "ids")
-_RANK = "CASE event_type WHEN 'x' THEN 0 ELSE 0 END"
 oracle(
     "t08a_template_totals",
     """SELECT event_type, count(*) AS count, min(ts) AS first_seen, max(ts) AS last_seen
@@ -239,7 +254,7 @@ oracle(
         USING (template)""",
     "masked_rows", "ids",
 )
-oracle("t09_by_volume", "SELECT cluster_id, count FROM ids ORDER BY count DESC, created LIMIT 10", "ids")
+oracle("t09_by_volume", "SELECT cluster_id, count, row_number() OVER (ORDER BY count DESC, created) AS place FROM ids", "ids")
 oracle(
     "t10_pattern",
     "SELECT cluster_id, template, len(string_split(template, ' ')) AS token_count FROM ids",
@@ -422,7 +437,12 @@ oracle(
         FROM inc JOIN series USING (template) GROUP BY bucket_ts""",
     "inc", "series",
 )
-oracle("k05_service_health", "SELECT service, status, incidents FROM health", "health")
+oracle(
+    "k05_service_health",
+    """SELECT service, status, incidents, row_number() OVER (ORDER BY CASE status WHEN 'Critical' THEN 0
+       WHEN 'Degraded' THEN 1 ELSE 2 END, service) AS place FROM health""",
+    "health",
+)
 oracle(
     "k06_health_score",
     """SELECT greatest(0, least(100, 100 - c * 12 - d * 6)) AS health_score,
@@ -540,14 +560,15 @@ oracle(
 )
 oracle(
     "l03_severity_order",
-    f"SELECT incident_id, severity, {r6('confidence')} AS confidence FROM inc ORDER BY {_ORDER} LIMIT 5",
+    f"""SELECT incident_id, severity, {r6('confidence')} AS confidence, row_number() OVER (ORDER BY {_ORDER}) AS place
+        FROM inc""",
     "inc",
 )
 oracle("l04_baseline_rates", f"SELECT incident_id, {r6('baseline_rate')} AS baseline_rate FROM inc", "inc")
 oracle(
     "l05_other_orders",
     " UNION ALL ".join(
-        f"SELECT '{key}' AS sort, incident_id FROM (SELECT * FROM inc ORDER BY {first} {_ORDER} LIMIT 3)"
+        f"SELECT '{key}' AS sort, incident_id, row_number() OVER (ORDER BY {first} {_ORDER}) AS place FROM inc"
         for key, first in (
             ("severity", ""), ("confidence", "confidence DESC,"), ("recent", "last_seen DESC,"), ("volume", "count DESC,"),
         )
@@ -590,7 +611,12 @@ oracle(
         FROM link l JOIN inc i ON i.incident_id = l.other_id""",
     "link", "inc",
 )
-oracle("l11_cluster_services", "SELECT cluster_id, service, n AS events FROM svc JOIN ids USING (template)", "svc", "ids")
+oracle(
+    "l11_cluster_services",
+    """SELECT cluster_id, service, n AS events, row_number() OVER (ORDER BY cluster_id, n DESC, first_line) AS place
+       FROM svc JOIN ids USING (template)""",
+    "svc", "ids",
+)
 oracle(
     "l12_factor_bars",
     f"""SELECT cluster_id, factor, {r6('value * weight / greatest(max(value * weight) OVER (PARTITION BY cluster_id), 0.001)')}

@@ -13,6 +13,11 @@ _ISO = (
     r"^\d{4}(?:-\d{2}-\d{2}|\d{4})"
     r"(?:.\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:[+-]\d{2}:?\d{2})?)?$"
 )
+# The rarer forms: calendar or week date, time with or without colons, offset with seconds.
+_DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
+_CLOCK = r"(\d{2})(?::(\d{2})(?::(\d{2})(\.\d+)?)?|(\d{2})(?:(\d{2})(\.\d+)?)?)?"
+_OFFSET = r"(?:([+-])(\d{2})(?::(\d{2})(?::(\d{2})(?:\.\d+)?)?|(\d{2})(?:(\d{2})(?:\.\d+)?)?)?)?"
+_RARE = f"^{_DATE}(?:.{_CLOCK}{_OFFSET})?$"
 _FIRST_SECOND = -62135596800  # 0001-01-01
 _LAST_SECOND = 253402300800  # 10000-01-01
 _MILLIS_ABOVE = 1e11
@@ -24,9 +29,38 @@ def from_text(value: Column) -> Column:
     text = F.regexp_replace(F.replace(strip(value), F.lit(","), F.lit(".")), "Z$", "+00:00")
     dashed = F.regexp_replace(text, r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2}))?", "$1-$2-$3T$4")
     timed = F.regexp_replace(dashed, r"T(\d{2})?(?=$|[+-])", "T0$1:00")
+    real = ~F.startswith(text, F.lit("0000"))
+    common = F.regexp_replace(timed, r"T0(?=\d\d)", "T").try_cast("timestamp")
+    found = F.when(text.rlike(_ISO) & real, common)
+    # a lambda keeps the long expression for rare forms out of the generated code
+    rare = F.get(F.transform(F.array(text), _rare), F.lit(0))
+    return F.when(found.isNotNull(), found).when(text.rlike(_RARE) & real, rare)
+
+
+def _rare(text: Column) -> Column:
+    """The time a text of a rarer form tells, from its parts; null where it can't be."""
+    part = [F.regexp_extract(text, _RARE, i) for i in range(23)]
+
+    def either(a: int, b: int, none: str) -> Column:
+        found = F.concat(part[a], part[b])
+        return F.when(found == "", none).otherwise(found)
+
+    week, weekday = F.concat(part[6], part[8]), F.concat(part[7], part[9])
+    monday = F.date_trunc("week", F.concat(part[1], F.lit("-01-04")).try_cast("timestamp")).cast("date")
+    days = (week.try_cast("int") - 1) * 7 + F.when(weekday == "", 1).otherwise(weekday.try_cast("int")) - 1
+    by_week = F.date_add(monday, days)
+    good_week = (F.weekofyear(by_week) == week.try_cast("int")) & (weekday.isin("", *"1234567"))
+    day = F.when(week == "", F.concat_ws("-", part[1], F.concat(part[2], part[4]), F.concat(part[3], part[5]))).when(
+        good_week, F.date_format(by_week, "yyyy-MM-dd")
+    )
+    hour = F.when(part[10] == "", "00").otherwise(part[10])
+    clock = F.concat_ws(":", hour, either(11, 14, "00"), F.concat(either(12, 15, "00"), part[13], part[16]))
+    local = F.concat(day, F.lit("T"), clock, F.lit("Z")).try_cast("timestamp")
+    ahead = F.when(part[18] == "", "0").otherwise(part[18]), either(19, 21, "0"), either(20, 22, "0")
+    seconds = sum(a.try_cast("bigint") * b for a, b in zip(ahead, (3600, 60, 1)))
+    sign = F.when(part[17] == "-", -1).otherwise(1)
     return F.when(
-        text.rlike(_ISO) & ~F.startswith(text, F.lit("0000")),
-        F.regexp_replace(timed, r"T0(?=\d\d)", "T").try_cast("timestamp"),
+        seconds < 86_400, F.timestamp_micros(F.unix_micros(local) - sign * seconds * 1_000_000)
     )
 
 

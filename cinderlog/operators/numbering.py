@@ -1,8 +1,9 @@
-"""Running totals and row numbers over a whole table, without a global sort.
+"""Running totals and row numbers over a whole table, without a global window.
 
-A window without partitions would move every row through one task. Here the order
-column (unique, whole numbers) is cut into blocks of fixed width: each block is one
-bounded window partition, and the totals of the blocks before it are added.
+A window without partitions would move every row through one task. Here rows are range
+partitioned by the order column and written sorted; each split of the written files is one
+window partition, and the totals of the splits before it, one row each, are added. That
+holds for any order column without ties: dense, sparse or random.
 """
 
 from __future__ import annotations
@@ -11,44 +12,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_WIDTH = 1 << 16
+from ..session import Workspace
 
 
-def running_sum(
-    narrow: DataFrame, order: str, weight: Column, target: str, width: int = BLOCK_WIDTH
-) -> DataFrame:
-    """Adds ``target``: the sum of ``weight`` over all rows with a smaller ``order``.
-
-    A block holds at most ``width`` rows because ``order`` is unique. The window over the
-    block totals sees one small row per ``width`` numbers: 16 million for 10^12 lines.
-    """
-    blocks = narrow.withColumn("_block", F.floor(F.col(order) / width)).withColumn(
-        "_weight", weight.cast("bigint")
+def _sorted_splits(workspace: Workspace, ordered: DataFrame) -> DataFrame:
+    """An ordered table written and read back, with the split each row comes from:
+    ``_path`` (number of the sorted part, and of the file where a part rolls over) and
+    ``_start``."""
+    table = workspace.table(ordered, "sorted")
+    name = F.col("_metadata.file_name")
+    path = F.struct(
+        F.regexp_extract(name, r"^part-(\d+)", 1).cast("bigint").alias("part"),
+        F.regexp_extract(name, r"-c(\d+)\.", 1).cast("bigint").alias("file"),
     )
-    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    return table.select("*", path.alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def running_sum(narrow: DataFrame, order: str, weight: Column, target: str) -> DataFrame:
+    """Adds ``target``: the sum of ``weight`` over all rows with a smaller ``order``."""
+    weighted = narrow.withColumn("_weight", weight.cast("bigint")).orderBy(order)
+    rows = _sorted_splits(Workspace(narrow.sparkSession), weighted)
+    before = W.orderBy("_path", "_start").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        blocks.groupBy("_block")
+        rows.groupBy("_path", "_start")
         .agg(F.sum("_weight").alias("_total"))
-        .select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
+        .select("_path", "_start", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
     )
-    inside = W.partitionBy("_block").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("_path", "_start").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        blocks.join(starts, "_block")
+        rows.join(starts, ["_path", "_start"])
         .withColumn(
             target,
-            F.col("_start") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)),
+            F.col("_base") + F.coalesce(F.sum("_weight").over(inside), F.lit(0)),
         )
-        .drop("_block", "_weight", "_start")
+        .drop("_path", "_start", "_weight", "_base")
     )
 
 
-def prefix_sum(
-    df: DataFrame, order: str, weight: Column, target: str, width: int = BLOCK_WIDTH
-) -> DataFrame:
-    """``running_sum`` for tables with wide rows: only key and weight are sorted in blocks;
-    the rows themselves are joined by the unique key."""
+def prefix_sum(df: DataFrame, order: str, weight: Column, target: str) -> DataFrame:
+    """``running_sum`` for tables with wide rows: only key and weight are sorted; the rows
+    themselves are joined by the unique key."""
     narrow = df.select(order, weight.alias("_value"))
-    sums = running_sum(narrow, order, F.col("_value"), target, width)
+    sums = running_sum(narrow, order, F.col("_value"), target)
     return join_narrow(df, sums.select(order, target), order)
 
 
@@ -59,11 +64,9 @@ def join_narrow(wide: DataFrame, narrow: DataFrame, key: str) -> DataFrame:
     return wide.join(narrow.hint("shuffle_hash"), key)
 
 
-def number_rows(df: DataFrame, order: str, target: str, width: int = BLOCK_WIDTH) -> DataFrame:
+def number_rows(df: DataFrame, order: str, target: str) -> DataFrame:
     """Adds ``target``: 1 for the row with the smallest ``order``, then 2, 3, ..."""
-    return running_sum(df, order, F.lit(1), target, width).withColumn(
-        target, F.col(target) + 1
-    )
+    return running_sum(df, order, F.lit(1), target).withColumn(target, F.col(target) + 1)
 
 
 def in_file_order(read: DataFrame, target: str, first: int = 1) -> DataFrame:
@@ -88,12 +91,12 @@ def in_file_order(read: DataFrame, target: str, first: int = 1) -> DataFrame:
     )
 
 
-def number_sorted(workspace, df: DataFrame, order: list[Column], target: str) -> DataFrame:
-    """Row numbers by any sort order: the rows are range partitioned and written sorted,
-    then numbered in file order."""
-    table = workspace.table(df.orderBy(*order), "sorted")
-    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
-    read = table.select(
-        "*", part.alias("_path"), F.col("_metadata.file_block_start").alias("_start")
-    )
-    return in_file_order(read, target)
+def number_written(workspace: Workspace, ordered: DataFrame, target: str) -> DataFrame:
+    """Numbers the rows of an ordered table from 1: they are written in their order, then
+    numbered in file order."""
+    return in_file_order(_sorted_splits(workspace, ordered), target)
+
+
+def number_sorted(workspace: Workspace, df: DataFrame, order: list[Column], target: str) -> DataFrame:
+    """Row numbers by any sort order."""
+    return number_written(workspace, df.orderBy(*order), target)

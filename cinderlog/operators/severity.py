@@ -72,15 +72,20 @@ def confidence(count: Column, anomaly_score: Column, level: Column) -> Column:
     return F.least(F.lit(0.99), F.greatest(F.lit(0.5), 0.60 + 0.38 * evidence))
 
 
-def score(clusters: DataFrame, largest_count: Column | None = None) -> DataFrame:
+def score(
+    clusters: DataFrame,
+    largest_count: Column | None = None,
+    table: Mapping[str, float] = fixed.SERVICE_CRITICALITY,
+) -> DataFrame:
     """Adds ``severity_factors, severity_score, severity, confidence``. The volume factor
-    compares with the largest cluster, a scalar subquery unless given."""
+    compares with the largest cluster, a scalar subquery unless given; ``table`` holds the
+    criticality of services."""
     if largest_count is None:
         largest_count = clusters.agg(F.max("count")).scalar()
     factors = F.struct(
         F.col("anomaly_score").alias("anomaly"),
         level_factor(F.col("level")).alias("level"),
-        criticality(F.col("primary_service")).alias("criticality"),
+        criticality(F.col("primary_service"), table).alias("criticality"),
         volume_factor(F.col("count"), largest_count).alias("volume"),
         growth_factor(F.col("growth_pct")).alias("growth"),
         breadth_factor(F.size("services")).alias("breadth"),

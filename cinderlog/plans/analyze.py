@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -32,6 +33,7 @@ class Analysis:
     incidents: DataFrame
     correlations: DataFrame
     counts: DataFrame  # one row
+    sensitivity: float = fixed.DEFAULT_SENSITIVITY
 
     def event_clusters(self) -> DataFrame:
         """Every event with the template it belongs to."""
@@ -155,10 +157,12 @@ def analyze(
     max_depth: int = fixed.MAX_DEPTH,
     max_children: int = fixed.MAX_CHILDREN,
     dependencies: DataFrame | None = None,
+    criticality: Mapping[str, float] = fixed.SERVICE_CRITICALITY,
 ) -> Analysis:
     """Parse, mine, count, score, promote and link the lines ``(line_no, raw)``.
 
-    ``base_time`` starts the clock of lines without a time. The raw lines are read once;
+    ``base_time`` starts the clock of lines without a time; ``criticality`` weighs the
+    services, ``dependencies`` replaces the table of links between them. The raw lines are read once;
     the parsed table is then scanned three times for a few columns each: distinct
     sequences, facts, sample lines.
     """
@@ -206,7 +210,7 @@ def analyze(
     numbered = templates.number_templates(base)
     scored = anomaly.score(frequency.growth(numbered), sensitivity)
     clusters = workspace.table(
-        severity.score(scored, base.agg(F.max("count")).scalar()), "clusters"
+        severity.score(scored, base.agg(F.max("count")).scalar(), criticality), "clusters"
     )
     ranked = workspace.table(incidents.form(workspace, clusters), "incidents")
     edges = workspace.table(
@@ -221,5 +225,5 @@ def analyze(
         ).alias("parsed_count"),
     ).withColumn("unparsed_count", F.col("event_count") - F.col("parsed_count"))
     return Analysis(
-        events, routed, versions, steps, window, clusters, linked, edges, counts
+        events, routed, versions, steps, window, clusters, linked, edges, counts, sensitivity
     )

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions import display, jsonline, masks, regex, timestamps
+from ..operators.numbering import number_written
 from ..operators import (
     anomaly,
     correlation,
@@ -131,6 +132,11 @@ def kind_scores(spark: SparkSession, sf_dir: str, sensitivity: float = 0.6) -> D
     return anomaly.score(frequency.growth(kind_series(spark, sf_dir)), sensitivity)
 
 
+def _placed(spark: SparkSession, ordered: DataFrame) -> DataFrame:
+    """Adds the place of every row of an ordered result, which a comparison of sets needs."""
+    return number_written(Workspace(spark), ordered, "place")
+
+
 # --- sources and sinks ------------------------------------------------------------------------
 
 
@@ -151,10 +157,15 @@ def s03_drop_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s04_valid_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines as UTF-16 bytes, wrongly read as UTF-8."""
-    misread = F.encode("raw", "UTF-16BE").cast("string")
+    """Document lines with a byte that is no UTF-8 before, after or on both sides of them."""
+    bad, raw, style = F.lit(bytearray(b"\xff")), F.encode("raw", "UTF-8"), F.col("line_no") % 3
+    broken = (
+        F.when(style == 0, F.concat(bad, raw))
+        .when(style == 1, F.concat(raw, bad))
+        .otherwise(F.concat(bad, raw, bad))
+    )
     lines = adapters.document_lines(spark, sf_dir)
-    return lines.select("line_no", F.make_valid_utf8(misread).alias("raw"))
+    return lines.select("line_no", F.make_valid_utf8(broken.cast("string")).alias("raw"))
 
 
 @query
@@ -202,7 +213,22 @@ def s09_previous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s10_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explorer.export_rows(latest(spark, sf_dir))
+    return _placed(spark, explorer.export_rows(latest(spark, sf_dir)))
+
+
+@query
+def s11_empty_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored run of a log all of whose lines are blank, with the dashboard's figures."""
+    lines = adapters.text_lines(spark, sf_dir).withColumn("raw", F.lit("  "))
+    runs = RunStore.create(spark, f"{Workspace(spark).root}/runs")
+    runs.save(analyze(Workspace(spark), lines, BASE_TIME), "empty", "2024-02-01 00:00:00")
+    run = runs.load()
+    row = run.run.select(
+        "run_id", "event_count", "parsed_count", "unparsed_count", "cluster_count", "incident_count",
+        "window_start", "window_end", "bucket_seconds",
+    )
+    figures = dashboard.kpis(run).agg(F.count("*").alias("figures"), F.sum("raw").alias("total"))
+    return row.join(figures, F.lit(True)).join(dashboard.health(run), F.lit(True))
 
 
 @query
@@ -212,9 +238,15 @@ def s12_stored_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def s13_stored_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = store(spark, sf_dir)
-    run = runs.load()
-    runs.save_explanations(runs.latest_id(), explain.explain(explain.explain_input(run)))
+    """Explanations saved one half after the other, the second half once more."""
+    runs = RunStore.create(spark, f"{Workspace(spark).root}/runs")
+    run_id = runs.save(analysis(spark, sf_dir), "explained", "2024-02-03 00:00:00")
+    run = runs.load(run_id)
+    told = explain.explain(explain.explain_input(run))
+    half = F.pmod(F.xxhash64("incident_id"), F.lit(2)) == 0
+    runs.save_explanations(run_id, told.filter(half))
+    runs.save_explanations(run_id, told.filter(~half).withColumn("root_cause", F.lit("to be replaced")))
+    runs.save_explanations(run_id, told.filter(~half))
     told = runs.load().explanations.select("incident_id", "source", "root_cause")
     return run.incidents.select("incident_id", "title").join(told, "incident_id", "left")
 
@@ -272,12 +304,20 @@ def p03_folded_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p04_timestamp_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epoch seconds and milliseconds, ISO with Z, with an offset, with a comma, a date, and
-    an impossible time."""
-    ts, style = F.col("ts"), F.col("event_id") % 7
+    """Epoch seconds and milliseconds, ISO with Z, with an offset, with a comma, a date, an
+    impossible time, basic forms with and without Z, a basic time behind an extended date, a
+    week date and an offset with seconds."""
+    ts, style = F.col("ts"), F.col("event_id") % 12
     seconds = F.floor(F.unix_micros(ts) / 1_000_000)
     millis = F.floor(F.unix_micros(ts) / 1_000)
 
+    week = F.format_string(
+        "%04d-W%02d-%d",
+        F.extract(F.lit("YEAROFWEEK"), ts),
+        F.extract(F.lit("WEEK"), ts),
+        F.extract(F.lit("DAYOFWEEK_ISO"), ts),
+    )
+
     def quoted(column: Column) -> Column:
         return F.concat(F.lit('"'), column, F.lit('"'))
 
@@ -288,7 +328,12 @@ def p04_timestamp_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(style == 3, quoted(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+02:00'")))
         .when(style == 4, quoted(F.date_format(ts, "yyyy-MM-dd HH:mm:ss,SSS")))
         .when(style == 5, quoted(F.date_format(ts, "yyyy-MM-dd")))
-        .otherwise(quoted(F.date_format(ts, "yyyy-13-dd'T'HH:mm:ss")))
+        .when(style == 6, quoted(F.date_format(ts, "yyyy-13-dd'T'HH:mm:ss")))
+        .when(style == 7, quoted(F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")))
+        .when(style == 8, quoted(F.date_format(ts, "yyyyMMdd'T'HHmmss.SSSSSS")))
+        .when(style == 9, quoted(F.date_format(ts, "yyyy-MM-dd'T'HHmm")))
+        .when(style == 10, quoted(week))
+        .otherwise(quoted(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+05:30:15'")))
     )
     raw = F.concat(F.lit('{"ts":'), value, F.lit(',"msg":"m"}'))
     lines = adapters.events(spark, sf_dir).select(
@@ -512,8 +557,8 @@ def t08c_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def t09_by_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = templates.by_volume(analysis(spark, sf_dir).clusters)
-    return ordered.select("cluster_id", "count").limit(10)
+    ordered = templates.by_volume(analysis(spark, sf_dir).clusters).select("cluster_id", "count")
+    return _placed(spark, ordered)
 
 
 @query
@@ -745,7 +790,6 @@ def _model(model, spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name, _model_function in {
     "k01_kpis": dashboard.kpis,
     "k04_timeline": dashboard.timeline,
-    "k05_service_health": dashboard.service_health,
     "k06_health_score": dashboard.health,
     "k07_top_clusters": dashboard.top_clusters,
     "k08_funnel": dashboard.funnel,
@@ -765,6 +809,11 @@ for _name, _model_function in {
     query(_query)
 
 
+@query
+def k05_service_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, dashboard.service_health(latest(spark, sf_dir)))
+
+
 @query
 def k02_event_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = latest(spark, sf_dir)
@@ -829,8 +878,8 @@ def l02_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def l03_severity_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = explorer.list_incidents(latest(spark, sf_dir)).limit(5)
-    return found.select("incident_id", "severity", "confidence")
+    found = explorer.list_incidents(latest(spark, sf_dir))
+    return _placed(spark, found.select("incident_id", "severity", "confidence"))
 
 
 @query
@@ -840,10 +889,10 @@ def l04_baseline_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def l05_other_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three incidents by every sort key."""
+    """The incidents by every sort key."""
     run = latest(spark, sf_dir)
     parts = [
-        explorer.list_incidents(run, sort=key).limit(3).select(F.lit(key).alias("sort"), "incident_id")
+        _placed(spark, explorer.list_incidents(run, sort=key).select(F.lit(key).alias("sort"), "incident_id"))
         for key in ("severity", "confidence", "recent", "volume")
     ]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
@@ -901,7 +950,8 @@ def l10_related(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def l11_cluster_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explorer.service_rows(latest(spark, sf_dir)).select("cluster_id", "service", "events")
+    found = explorer.service_rows(latest(spark, sf_dir))
+    return _placed(spark, found.select("cluster_id", "service", "events"))
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +21,29 @@ SQL_SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that functions
+    of it run on nodes where nobody installed it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    if not package.is_dir():
+        return  # it runs from an archive, which has been shipped
+    archive = Path(tempfile.mkdtemp(prefix="cinderlog-code-")) / "cinderlog-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    """Sets the runtime settings the operators' results depend on, and ships the package."""
+    ship(spark)
     for key, value in SQL_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

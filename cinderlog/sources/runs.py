@@ -40,7 +40,7 @@ CORRELATION_SCHEMA = """
 """
 EXPLANATION_SCHEMA = """
     run_id bigint, incident_id string, source string, summary string, root_cause string,
-    suggested_fixes array<string>
+    suggested_fixes array<string>, saved bigint
 """
 SCHEMAS = {
     "runs": RUN_SCHEMA,
@@ -86,7 +86,8 @@ def bucket_rows(clusters: DataFrame, *keys: str) -> DataFrame:
 
 class RunStore:
     """Runs under one folder. The run row is written last: a run that can be found is
-    complete. Writing a run again replaces its partitions."""
+    complete. The folder of its clusters is written first and claims the id: a second
+    writer of the same id fails, unless it asks to replace the run."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -106,16 +107,9 @@ class RunStore:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
 
-    def _write(self, name: str, df: DataFrame, run_id: int) -> None:
-        columns = [field.name for field in self.table(name).schema]
-        (
-            df.withColumn("run_id", F.lit(run_id).cast("bigint"))
-            .select(*columns)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("run_id")
-            .parquet(f"{self.path}/{name}")
-        )
+    def _write(self, name: str, df: DataFrame, run_id: int, mode: str) -> None:
+        columns = [field.name for field in self.table(name).schema if field.name != "run_id"]
+        df.select(*columns).write.mode(mode).parquet(f"{self.path}/{name}/run_id={run_id}")
 
     def next_id(self) -> int:
         return (self.table("runs").agg(F.max("run_id")).first()[0] or 0) + 1
@@ -125,13 +119,16 @@ class RunStore:
         analysis: Analysis,
         source_name: str,
         created_at: datetime | str,
-        sensitivity: float = fixed.DEFAULT_SENSITIVITY,
         run_id: int | None = None,
+        replace: bool = False,
     ) -> int:
+        """Stores an analysis, by default under the next free id. An id that is taken is an
+        error unless ``replace`` is set."""
         run_id = run_id or self.next_id()
-        self._write("clusters", bucket_list(analysis.clusters), run_id)
-        self._write("incidents", analysis.incidents, run_id)
-        self._write("correlations", analysis.correlations, run_id)
+        mode = "overwrite" if replace else "errorifexists"
+        self._write("clusters", bucket_list(analysis.clusters), run_id, mode)
+        self._write("incidents", analysis.incidents, run_id, mode)
+        self._write("correlations", analysis.correlations, run_id, mode)
         clusters = analysis.clusters.agg(F.count("*")).scalar()
         counts = analysis.counts.select(F.struct("*")).scalar()
         run = analysis.window.select(
@@ -146,14 +143,16 @@ class RunStore:
             F.when(clusters > 0, F.col("bucket_seconds"))
             .otherwise(fixed.DEFAULT_BUCKET_SECONDS)
             .alias("bucket_seconds"),
-            F.lit(sensitivity).alias("sensitivity"),
+            F.lit(analysis.sensitivity).alias("sensitivity"),
             F.lit(created_at).cast("timestamp").alias("created_at"),
         )
-        self._write("runs", run, run_id)
+        self._write("runs", run, run_id, mode)
         return run_id
 
     def save_explanations(self, run_id: int, explanations: DataFrame) -> None:
-        self._write("explanations", explanations, run_id)
+        """Adds explanations of some incidents; those saved later count."""
+        stamped = explanations.withColumn("saved", F.unix_micros(F.current_timestamp()))
+        self._write("explanations", stamped, run_id, "append")
 
     def latest_id(self) -> int | None:
         newest = latest_run(self.table("runs")).select("run_id").first()
@@ -172,11 +171,21 @@ class RunStore:
             part("clusters"),
             part("incidents"),
             part("correlations"),
-            part("explanations"),
+            newest(part("explanations")),
             previous_run(self.table("runs"), wanted),
         )
 
 
+def newest(explanations: DataFrame) -> DataFrame:
+    """The explanation of each incident that was saved last."""
+    told = [c for c in explanations.columns if c not in ("run_id", "incident_id", "saved")]
+    return (
+        explanations.groupBy("run_id", "incident_id")
+        .agg(F.max_by(F.struct(*told), "saved").alias("told"), F.max("saved").alias("saved"))
+        .select("run_id", "incident_id", "told.*", "saved")
+    )
+
+
 def latest_run(runs: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("created_at"), F.desc("run_id")).limit(1)
 

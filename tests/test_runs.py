@@ -42,7 +42,9 @@ def test_only_the_wanted_run_is_scanned(store):
 def test_saving_again_replaces(spark, store):
     before = store.load(2).clusters.count()
     rows = [(i, f'ERROR svc-a say, "disk" {i}% full') for i in range(1, 8)] + [(9, "FATAL down")]
-    store.save(analysed(spark, rows), "large", "2024-03-01 00:00:00", run_id=2)
+    store.save(analysed(spark, rows), "large", "2024-03-01 00:00:00", run_id=2, replace=True)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        store.save(analysed(spark, rows), "large", "2024-03-01 00:00:00", run_id=2)
     assert store.load(2).clusters.count() == before
     assert store.table("runs").count() == 2
 

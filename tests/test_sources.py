@@ -50,12 +50,12 @@ def test_table_lines(spark):
 def test_prefix_sum_over_blocks(spark):
     keys = random.Random(2).sample(range(-500, 5000), 300)
     df = spark.createDataFrame([(k, k % 7) for k in keys], "k bigint, w bigint")
-    found = {r.k: r.s for r in prefix_sum(df, "k", F.col("w"), "s", width=64).collect()}
+    found = {r.k: r.s for r in prefix_sum(df, "k", F.col("w"), "s").collect()}
     total, expected = 0, {}
     for k in sorted(keys):
         expected[k], total = total, total + k % 7
     assert found == expected
-    numbers = {r.k: r.n for r in number_rows(df, "k", "n", width=64).collect()}
+    numbers = {r.k: r.n for r in number_rows(df, "k", "n").collect()}
     assert numbers == {k: i for i, k in enumerate(sorted(keys), 1)}
 
 
