@@ -86,19 +86,24 @@ def dense_counts(counted: DataFrame, key: str, window: Window) -> DataFrame:
     ``counted`` is ``(key, bucket_idx, events)``, any number of rows per bucket. The
     shuffled rows are the filled buckets only; zeros are added inside the row.
     """
-    by_bucket = F.map_from_entries(F.collect_list(F.struct("bucket_idx", "events")))
+    filled = F.array_sort(F.collect_list(F.struct("bucket_idx", "events")))
+
+    def stretch(entry: Column, place: Column) -> Column:
+        """The zeros before a filled bucket, then its count; linear over the whole row."""
+        before = F.coalesce(F.get("_filled", place - 1)["bucket_idx"], F.lit(-1))
+        zeros = F.array_repeat(F.lit(0).cast("bigint"), entry["bucket_idx"] - before - 1)
+        return F.concat(zeros, F.array(entry["events"].cast("bigint")))
+
+    last = F.element_at("_filled", -1)["bucket_idx"]
+    zeros_after = F.array_repeat(F.lit(0).cast("bigint"), (F.col("_n") - 1 - last).cast("int"))
     return (
         counted.groupBy(key, "bucket_idx")
         .agg(F.sum("events").alias("events"))
         .groupBy(key)
-        .agg(by_bucket.alias("_by_bucket"))
+        .agg(filled.alias("_filled"))
         .withColumn("_n", window.buckets)
         .select(
-            key,
-            F.transform(
-                F.sequence(F.lit(0), F.col("_n") - 1),
-                lambda i: F.coalesce(F.try_element_at("_by_bucket", i), F.lit(0)).cast("bigint"),
-            ).alias("counts"),
+            key, F.concat(F.flatten(F.transform("_filled", stretch)), zeros_after).alias("counts")
         )
     )
 

@@ -1,11 +1,19 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from cinderlog.operators.frequency import Window, dense_counts
 from cinderlog.operators.numbering import number_rows, number_sorted, prefix_sum
 from cinderlog.sources.lines import read_text, table_lines
 
 
+ROOT = Path(__file__).resolve().parents[1]
+
+
 def test_files_are_numbered_in_order(spark, tmp_path):
     texts = {"b.log": "four\n\nsix", "a.log": "one\r\ntwo\x0bthree\n", "c.log": "seven\n"}
     for name, text in texts.items():
@@ -66,3 +74,44 @@ def test_number_sorted(spark, workspace):
     expected = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert [(r.id, r.score) for r in sorted(found, key=lambda r: r["rank"])] == expected
     assert sorted(r["rank"] for r in found) == list(range(1, 501))
+
+
+def test_numbers_of_sparse_keys_and_rolled_files(spark, workspace):
+    """Random 63-bit keys, and files that roll over every few rows."""
+    draw = random.Random(3)
+    keys = [draw.randrange(1 << 62) for _ in range(1200)]
+    df = spark.createDataFrame([(k, k % 7) for k in keys], "k bigint, w bigint")
+    before = {k: sum(x % 7 for x in keys if x < k) for k in keys}
+    place = {k: i + 1 for i, k in enumerate(sorted(keys))}
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "50")
+    try:
+        assert {r.k: r.s for r in prefix_sum(df, "k", F.col("w"), "s").collect()} == before
+        assert {r.k: r.n for r in number_rows(df, "k", "n").collect()} == place
+        found = number_sorted(workspace, df, [F.col("k")], "rank").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert {r.k: r["rank"] for r in found} == place
+
+
+def test_long_series_with_few_filled_buckets(spark):
+    view = Window(F.lit("1970-01-01").cast("timestamp"), F.lit(86400), F.lit(60000), F.lit(1))
+    rows = spark.createDataFrame([("a", 0, 1), ("a", 59990, 2), ("a", 59990, 3), ("b", 7, 4)], "k string, bucket_idx int, events bigint")
+    found = {r.k: r.counts for r in dense_counts(rows, "k", view).collect()}
+    assert {k: (len(v), sum(v)) for k, v in found.items()} == {"a": (60000, 6), "b": (60000, 4)}
+    assert found["a"][0] == 1 and found["a"][59990] == 5 and found["b"][7] == 4
+
+
+def test_workers_get_the_package(tmp_path):
+    """Mining runs from another folder, without the package on the workers' path."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(ROOT)!r})\n"
+        "from cinderlog.session import Workspace, local_session\n"
+        "from cinderlog.plans.analyze import analyze\n"
+        "spark = local_session('2')\n"
+        "rows = [(i, f'ERROR svc job run has stopped for the reason {w} today') for i, w in enumerate('abcdefgh')]\n"
+        "done = analyze(Workspace(spark), spark.createDataFrame(rows, 'line_no bigint, raw string'), '2024-01-01 00:00:00')\n"
+        "print('clusters', done.clusters.count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    told = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "clusters 1" in told.stdout, told.stderr[-2000:]
