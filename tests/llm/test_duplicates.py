@@ -59,7 +59,10 @@ def test_line_links_against_brute_force(spark, threshold):
         for place, line in enumerate(text.split("\n")):
             if len(line) >= 6:
                 first.setdefault(line, (doc_id, place))
-    got = {r.line: r for r in line_classes(df, threshold=threshold, least_chars=6).collect()}
+    at = dict(docs)
+    rows = line_classes(df, threshold=threshold, least_chars=6).collect()
+    got = {at[r.doc_id].split("\n")[r.line_no]: r for r in rows}
+    assert len(got) == len(rows)
     assert got.keys() == first.keys()
     for line, r in got.items():
         near = [x for x in first if x != line and edits(x, line) <= threshold]
