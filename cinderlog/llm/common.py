@@ -8,19 +8,35 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cinderlog.session import shared_folder
+from cinderlog.session import shared_folder, ship
 
 #: Rows a Python task turns into lists at a time; long texts make Arrow batches large.
 SLICE = 256
 
 
 class Scratch:
-    """Tables written under the shared folder: they cut lineage and outlive executors."""
+    """Tables written under the shared folder: they cut lineage and outlive executors.
+
+    Results are lazy and read these tables, so only who has written a result may `drop` them.
+    """
+
+    #: Of all instances, in order.
+    roots: list[str] = []
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._written = 0
+        Scratch.roots.append(self.root)
+
+    @classmethod
+    def drop(cls, spark: SparkSession, roots: list[str]) -> None:
+        """Deletes the tables under these roots."""
+        jvm, settings = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for root in roots:
+            folder = jvm.org.apache.hadoop.fs.Path(root)
+            folder.getFileSystem(settings).delete(folder, True)
 
     def path(self, name: str) -> str:
         self._written += 1

@@ -1,17 +1,41 @@
 """From raw documents to packed training sequences, in stages.
 
 Each stage takes (spark, docs, sf_dir), docs being all rows its predecessor kept, and
-returns a DataFrame. All stages but the last return the columns of `documents`.
+returns a DataFrame. All stages but the last return the columns of `documents`. As docs is
+written before a stage begins, the stage first drops what its predecessors left in the
+shared folder.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderlog.llm import decontamination, line_dedup, minhash, packing, quality
 from cinderlog.llm.common import Scratch, join_on, table
+from cinderlog.session import shared_folder
+
+
+_left: list[str] = []
+
+
+def _stage(function):
+    """Drops what the stage before left, and notes what this one leaves."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        Scratch.drop(spark, _left)
+        first = len(Scratch.roots)
+        out = function(spark, docs, sf_dir)
+        _left[:] = Scratch.roots[first:]
+        return out
+
+    return run_stage
 
 
+@_stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier doesn't reject."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -19,6 +43,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("_quality") >= 0.5).drop("_quality")
 
 
+@_stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat, nearly, an earlier line of the corpus.
 
@@ -33,6 +58,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     )
 
 
+@_stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates, on five-word shingles."""
     found = minhash.near_duplicates(docs, shingle_words=5, per_cent=80)
@@ -40,6 +66,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than a twentieth of benchmark text."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -48,6 +75,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return join_on(keyed, gone, ["doc_id", "row_key"], "left_anti").select(*docs.columns)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining documents in sequences of at most 1024 tokens."""
     return packing.pack(docs).drop("ids")
@@ -67,8 +95,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`, each written as Parquet and read again by the next."""
-    work = Scratch(spark, "pipeline")
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex[:12]}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
     return docs
