@@ -418,3 +418,22 @@ for _level in range(1, 5):
         WHERE len(tokens) >= {_level} GROUP BY ALL)) a ON a.node = r.node AND a.key = r.key)""",
         (f"route{_level - 1}",),
     )
+part(
+    "arrivals",
+    "SELECT leaf, first_line, tokens, row_number() OVER (PARTITION BY leaf ORDER BY first_line) AS k FROM route4",
+    ("route4",),
+)
+part(
+    "folded",
+    f"""SELECT leaf, k, [{{'created': first_line, 'words': tokens}}] AS templates FROM arrivals WHERE k = 1
+        UNION ALL
+        SELECT leaf, k, CASE WHEN list_max(agree) / len(tokens) >= {fixed.SIM_THRESHOLD}
+        THEN list_transform(templates, lambda t, i: CASE WHEN i = list_position(agree, list_max(agree))
+        THEN {{'created': t.created, 'words': list_transform(list_zip(t.words, tokens),
+        lambda x: CASE WHEN x[1] = x[2] THEN x[1] ELSE '<*>' END)}} ELSE t END)
+        ELSE list_append(templates, {{'created': first_line, 'words': tokens}}) END AS templates
+        FROM (SELECT a.leaf, a.k, a.first_line, a.tokens, f.templates, list_transform(f.templates, lambda t:
+        len(list_filter(list_zip(t.words, a.tokens), lambda x: x[1] = '<*>' OR x[1] = x[2]))) AS agree
+        FROM folded f JOIN arrivals a ON a.leaf = f.leaf AND a.k = f.k + 1)""",
+    ("arrivals",),
+)

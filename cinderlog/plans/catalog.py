@@ -510,6 +510,17 @@ def t05_mine_document_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def t05_mine_maskable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates of the document lines whose masks SQL can express, with real merging."""
+    workspace = Workspace(spark)
+    routed = workspace.table(mining.route(workspace, _maskable_sequences(spark, sf_dir)), "routed")
+    versions = mining.mine(workspace, routed)
+    return templates.number_templates(mining.latest(versions)).select(
+        "cluster_id", "created", mining.pattern(F.col("tokens")).alias("template")
+    )
+
+
 @query
 def t06_assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = analysis(spark, sf_dir)
