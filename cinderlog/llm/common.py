@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinderlog.session import shared_folder, ship
@@ -53,14 +54,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def in_slices(
-    work: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = SLICE
+    work: Callable[[pa.RecordBatch], pa.RecordBatch],
+    rows: int = SLICE,
+    column: int | None = None,
+    size: int = 8_000_000,
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`work` on slices of the Arrow batches of `mapInArrow`."""
+    """`work` on slices of the Arrow batches of `mapInArrow`: of up to `rows` rows and, if a
+    text column is named, of texts that together take up to `size` bytes, one at least."""
+
+    def ends(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        if column is None:
+            yield from ((at, rows) for at in range(0, batch.num_rows, rows))
+            return
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        at, held = 0, 0
+        for k, length in enumerate(lengths):
+            if k > at and (k - at == rows or held + length > size):
+                yield at, k - at
+                at, held = k, 0
+            held += length
+        if at < batch.num_rows:
+            yield at, batch.num_rows - at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = work(batch.slice(at, rows))
+            for at, count in ends(batch):
+                out = work(batch.slice(at, count))
                 if out is not None and out.num_rows:
                     yield out
 

@@ -16,9 +16,7 @@ of the most letters.
 
 from __future__ import annotations
 
-import math
 import re
-import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -66,20 +64,38 @@ def script_of(letter: str) -> str:
 
 def word_script(word: str) -> str | None:
     """The script of most letters of a word; None if it has no letter."""
+    if word.isalpha() and max(word) < "\u0370":
+        return "Latin"
     seen = Counter(script_of(c) for c in word if c.isalpha())
     return min(seen, key=lambda s: (-seen[s], s)) if seen else None
 
 
-def grams(word: str) -> list[int]:
-    """Hash buckets of the n-grams of a word, letters in lower case."""
-    padded = f" {word.lower()} ".encode("utf-16-le", "surrogatepass")
-    units = len(padded) // 2
-    return [
-        zlib.crc32(padded[2 * i : 2 * (i + n)]) % BUCKETS
-        for n in GRAMS
-        for i in range(units - n + 1)
-        if n > 1 or 0 < i < units - 1
-    ]
+def grams(words: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Hash buckets of the letter n-grams of words in lower case, a space at both ends.
+
+    For every n, (buckets, valid) of the n-gram that starts at each place of the words
+    joined by spaces; and the place where each word starts. A space alone and what reaches
+    into the next word aren't valid.
+    """
+    text = " " + " ".join(words).lower() + " "
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    space = code == 32
+    starts = np.flatnonzero(space)[:-1]
+    code = np.concatenate([code, np.zeros(max(GRAMS), np.uint64)])
+    size, out, mixed = len(space), [], np.zeros(len(space), np.uint64)
+    inside = np.concatenate([~space, [False] * max(GRAMS)])
+    valid = np.ones(size, bool)
+    with np.errstate(over="ignore"):
+        for n in range(1, max(GRAMS) + 1):
+            mixed = (mixed + code[n - 1 : n - 1 + size] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            if n > 2:
+                valid = valid & inside[n - 2 : n - 2 + size]  # no space before the last letter
+            if n in GRAMS:
+                out.append(((mixed % np.uint64(BUCKETS)).astype(np.int64), ~space if n == 1 else valid.copy()))
+    for _, ok in out:
+        ok[-1] = False  # the last space begins no word
+    return out, starts
 
 
 def learn(df: DataFrame, text_col: str, lang_col: str) -> "Model":
@@ -94,12 +110,15 @@ def learn(df: DataFrame, text_col: str, lang_col: str) -> "Model":
             for lang, seen in words.items():
                 if lang not in totals:
                     totals[lang] = np.zeros(BUCKETS, np.int64)
-                for word, n in seen.items():
-                    script = word_script(word)
-                    if script:
-                        scripts[lang, script] += n * len(word)
-                        for g in grams(word):
-                            totals[lang][g] += n
+                real = [(w, n, script) for w, n in seen.items() if (script := word_script(w))]
+                for w, n, script in real:
+                    scripts[lang, script] += n * len(w)
+                if real:
+                    found, starts = grams([w for w, _, _ in real])
+                    many = np.repeat([n for _, n, _ in real], np.diff([*starts, len(found[0][0]) - 1]))
+                    for bucket, valid in found:
+                        got = np.bincount(bucket[:-1][valid[:-1]], many[valid[:-1]], BUCKETS)
+                        totals[lang] += got.astype(np.int64)
             words.clear()
 
         for batch in batches:
@@ -156,24 +175,29 @@ class Model:
                     self.scripts[script].append(k)
         self.default = int(np.argmax(total)) if langs else 0
 
-    def word(self, word: str) -> np.ndarray | None:
-        """Scores of a word per language, the best 0; None if it has no letter.
+    def score(self, words: list[str]) -> np.ndarray:
+        """Scores of words per language, the best 0; all 0 for words without a letter.
 
         A script that no language uses leaves all candidates and tells nothing.
         """
-        script = word_script(word)
-        if script is None:
-            return None
-        out = np.zeros(len(self.langs))
-        candidates = self.scripts.get(script)
-        if candidates:
-            if len(candidates) > 1:
-                out[:] = self.logs[grams(word)].sum(0, dtype=np.float64)
-            ruled = np.ones(len(out), bool)
-            ruled[candidates] = False
-            low = out[candidates].min() if len(candidates) > 1 else 0.0
-            out[ruled] = low - 2 * SWITCH
-        return out - out.max()
+        out = np.zeros((len(words), len(self.langs)))
+        if not words:
+            return out
+        found, starts = grams(words)
+        for bucket, valid in found:
+            out += np.add.reduceat(self.logs[bucket] * valid[:, None], starts, dtype=np.float64)
+        by_script: dict[str | None, list[int]] = defaultdict(list)
+        for k, word in enumerate(words):
+            by_script[word_script(word)].append(k)
+        for script, rows in by_script.items():
+            candidates = self.scripts.get(script, [])
+            if not candidates:
+                out[rows] = 0.0
+                continue
+            ruled = np.setdiff1d(np.arange(len(self.langs)), candidates)
+            low = out[np.ix_(rows, candidates)].min(1)
+            out[np.ix_(rows, ruled)] = low[:, None] - 2 * SWITCH
+        return out - out.max(1, keepdims=True)
 
 
 class _Words(dict):
@@ -186,20 +210,21 @@ class _Words(dict):
 
     def start(self) -> None:
         self.clear()
-        self.scores = np.zeros((1024, len(self.model.langs)))
-        self.used = 1
-
-    def __missing__(self, word: str) -> int:
-        scores = self.model.word(word)
-        if scores is None:
-            self[word] = 0
-            return 0
-        if self.used == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[self.used] = scores
-        self[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.scores = np.zeros((1, len(self.model.langs)))
+        self.letters = np.zeros(1, np.int64)
+
+    def learn(self, words: set[str]) -> None:
+        """Adds the words that aren't there yet."""
+        new = []
+        for word in words.difference(self):
+            if word_script(word) is None:
+                self[word] = 0
+            else:
+                self[word] = len(self.scores) + len(new)
+                new.append(word)
+        if new:
+            self.scores = np.concatenate([self.scores, self.model.score(new)])
+            self.letters = np.concatenate([self.letters, [len(w) for w in new]])
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -266,31 +291,31 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             if words is not None and len(words) > REMEMBERED:
                 words.start()
-            rows, places = [], []
-            for text in texts(batch.column(1)):
-                found = list(WORD.finditer(text)) if words is not None else []
-                code = np.fromiter((words[m[0]] for m in found), np.int64, len(found))
-                real = np.flatnonzero(code)
-                rows.append(code[real])
-                places.append(
-                    np.array([m.span() for m in found], np.int64).reshape(-1, 2)[real]
-                )
-            labels = viterbi([words.scores[r] for r in rows], switch) if words is not None else [()] * len(rows)
+            whole = texts(batch.column(1))
+            found = [WORD.findall(text) for text in whole] if words is not None else [[]] * len(whole)
+            rows = []
+            if words is not None:
+                words.learn(set().union(*found))
+            for own in found:
+                code = np.fromiter(map(words.__getitem__, own), np.int64, len(own)) if own else np.zeros(0, np.int64)
+                rows.append(code[code > 0])
+            labels = viterbi([words.scores[r] for r in rows], switch) if words is not None else rows
             preds, shares, spans = [], [], []
-            for where, label in zip(places, labels):
+            for text, code, label in zip(whole, rows, labels):
                 if not len(label):
                     preds.append("und"), shares.append(0.0), spans.append([])
                     continue
-                letters = np.bincount(label, where[:, 1] - where[:, 0], len(model.langs))
+                letters = np.bincount(label, words.letters[code], len(model.langs))
                 top = int(letters.argmax())
                 preds.append(model.langs[top])
                 shares.append(float(letters[top] / letters.sum()))
+                places = [m.span() for m in WORD.finditer(text) if words[m[0]]]
                 cut = np.flatnonzero(np.diff(label)) + 1
                 first = np.concatenate([[0], cut])
                 last = np.concatenate([cut, [len(label)]]) - 1
                 spans.append(
                     [
-                        {"start": int(where[a, 0]), "end": int(where[b, 1]), "lang": model.langs[int(label[a])]}
+                        {"start": places[a][0], "end": places[b][1], "lang": model.langs[int(label[a])]}
                         for a, b in zip(first, last)
                     ]
                 )
@@ -299,7 +324,8 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 ["doc_id", "lang_pred", "score", "spans"],
             )
 
-        yield from in_slices(work)(batches)
+        # a step of Viterbi costs the same for one text as for many
+        yield from in_slices(work, 4096, 1)(batches)
 
     return df.select(id_col, text_col).mapInArrow(
         run, f"doc_id {kind}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"

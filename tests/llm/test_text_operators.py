@@ -154,9 +154,23 @@ def test_language_held_out_and_mixed(spark, sf):
     assert language.identify(docs.limit(0), model).collect() == []
 
 
+def test_grams_of_words():
+    words = ["Ab", "é", "xyz", "ab"]
+    found, starts = language.grams(words)
+    ends = [*starts[1:], len(found[0][0]) - 1]
+
+    def of(k):
+        return [sorted(b[s:e][ok[s:e]]) for b, ok in found for s, e in [(starts[k], ends[k])]]
+
+    assert [len(x) for x in of(0)] == [2, 3, 2] and [len(x) for x in of(1)] == [1, 2, 1]
+    assert [len(x) for x in of(2)] == [3, 4, 3] and of(0) == of(3)
+    alone, _ = language.grams(["xyz"])
+    assert [sorted(b[:-1][ok[:-1]]) for b, ok in alone] == of(2)
+
+
 def test_scripts_narrow_the_candidates():
     model = language.Model(["el", "en", "ru"], np.ones((language.BUCKETS, 3)), {("el", "Greek"): 9, ("en", "Latin"): 9, ("ru", "Cyrillic"): 9})
-    assert [int(model.word(w).argmax()) for w in ("λόγος", "word", "слово")] == [0, 1, 2]
+    assert model.score(["λόγος", "word", "слово"]).argmax(1).tolist() == [0, 1, 2]
     assert language.script_of("漢") == "Han" and language.script_of("ß") == "Latin" and language.word_script("²") is None
 
 
