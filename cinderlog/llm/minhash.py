@@ -8,10 +8,15 @@ names, the same for all documents, until it meets a filled one (optimal densific
 
 Documents with equal sets are one class from the start. In a bucket, every class is
 paired with one centre only: the member whose buckets are largest over all bands, so the
-original of a group of edited copies is the centre of all its buckets. Candidate pairs are
-confirmed on the full sets. Where members of a bucket are still apart after that, the
-pairs between their components that the signatures don't rule out are confirmed as well,
-so no link that any bucket holds is lost; pairs inside a component are never made.
+original of a group of edited copies is the centre of all its buckets. The similarity of
+each star pair is computed on the full sets; those at the threshold are links.
+
+Members of a bucket that are still in different components could be linked past their
+centre. Every class belongs to the cell of the centre it is most similar to, or of that centre's
+own, and the pairs
+of cells that share a bucket are compared in chunks of some megabytes a side: signatures rule out most pairs, the full sets confirm the rest. Chunks of one and
+the same component are never compared, pairs are never written out, and of the links
+found one per class and component is kept, as that is all a component needs.
 """
 
 from __future__ import annotations
@@ -19,15 +24,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cinderlog.llm.common import Scratch, clean_bytes, in_slices, table
 from cinderlog.llm.components import components
 
 BANDS, ROWS = 48, 6
-#: Of the bins of two sets at the threshold, the share that must agree, less a margin of
-#: six standard deviations and what densified bins can add, for a pair to be confirmed.
-MARGIN = 6.0
+#: Hashes per side when cells are compared, and the standard deviations by which the share
+#: of equal bins may fall short of the threshold before a pair is ruled out unseen.
+CHUNK, MARGIN = 500_000, 6.0
+#: How many centres up a cell is named; any number gives the same links.
+JUMPS = 3
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,27 +163,158 @@ def _sets(df: DataFrame, text_col: str, size: int) -> DataFrame:
     return df.select("set_key", text_col).mapInArrow(in_slices(work), "set_key long, hashes binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= per_cent * union, on the full sets."""
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both, either): the sizes of intersection and union of the pairs' full sets."""
     left = sets.select(F.col("set_key").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("set_key").alias("b"), F.col("hashes").alias("y"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
+        both, either = [], []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= per_cent * (len(x) + len(y) - both))
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            both.append(n)
+            either.append(len(x) + len(y) - n)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1)], ["a", "b"]
-        ).filter(pa.array(keep, pa.bool_()))
+            [batch.column(0), batch.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())],
+            ["a", "b", "both", "either"],
+        )
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(in_slices(work), "a long, b long")
+    return joined.mapInArrow(in_slices(work), "a long, b long, both long, either long")
+
+
+def compare(left: pa.Table, right: pa.Table, bins: int, per_cent: int) -> tuple[list[int], list[int]]:
+    """Links between two chunks, one per class of the left and component of the right.
 
+    What is linked is one component from then on, and not compared again.
+    Rows are (set_key, component, low, hashes). The share of equal bins of two sets at the
+    threshold varies with the number of bins their hashes fill; pairs more than `MARGIN`
+    standard deviations below it are not looked at.
+    """
+
+    def read(table: pa.Table):
+        sets = [np.frombuffer(z.as_buffer(), np.uint64) for z in table.column("hashes")]
+        low = np.frombuffer(b"".join(z.as_py() for z in table.column("low")), np.uint8).reshape(-1, bins)
+        keys, comps = (np.array(table.column(c).to_pylist(), np.int64) for c in ("set_key", "component"))
+        return sets, low, keys, comps, np.array([len(x) for x in sets])
 
-def _sizes_fit(n: str, m: str, per_cent: int) -> Column:
-    return 100 * F.least(n, m) >= per_cent * F.greatest(n, m)
+    xs, x_low, x_keys, x_comps, x_sizes = read(left)
+    ys, y_low, y_keys, y_comps, y_sizes = read(right)
+    flat = np.concatenate(ys)
+    starts = np.concatenate([[0], np.cumsum(y_sizes)[:-1]])
+    share = per_cent / 100
+    out_a: list[int] = []
+    out_b: list[int] = []
+    for k, x in enumerate(xs):
+        n = len(x)
+        fits = (y_comps != x_comps[k]) & (100 * np.minimum(n, y_sizes) >= per_cent * np.maximum(n, y_sizes))
+        if not fits.any():
+            continue
+        filled = 0.8 * bins * (1 - np.exp(-np.minimum(n, y_sizes) / bins))
+        least = share - MARGIN * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
+        near = np.flatnonzero(fits)
+        near = near[np.count_nonzero(x_low[k] == y_low[near], 1) >= bins * least[near]]
+        if not len(near):
+            continue
+        if 2 * len(near) > len(ys):
+            part, at = flat, starts
+        else:
+            part = np.concatenate([ys[j] for j in near])
+            at = np.concatenate([[0], np.cumsum(y_sizes[near])[:-1]])
+        place = np.minimum(np.searchsorted(x, part), n - 1)
+        both = np.add.reduceat((x[place] == part).astype(np.int64), at)
+        if part is flat:
+            both = both[near]
+        linked = near[100 * both >= per_cent * (n + y_sizes[near] - both)]
+        if not len(linked):
+            continue
+        met, first = np.unique(y_comps[linked], return_index=True)
+        out_a += [int(x_keys[k])] * len(first)
+        out_b += y_keys[linked[first]].tolist()
+        for comps in (x_comps, y_comps):
+            comps[np.isin(comps, met)] = x_comps[k]
+    return out_a, out_b
+
+
+def _beyond_centres(
+    members: DataFrame, cells: DataFrame, named: DataFrame, classes: DataFrame, sets: DataFrame,
+    bins: int, per_cent: int, work: Scratch,
+) -> DataFrame:
+    """(a, b): links between components that share a bucket."""
+    placed = (
+        classes.select("set_key", "n")
+        .join(members.select("set_key").distinct(), "set_key")
+        .join(cells, "set_key", "left")
+        .join(named, "set_key", "left")
+        .select("set_key", "n", F.coalesce("cell", "set_key").alias("cell"), F.coalesce("component", "set_key").alias("component"))
+    )
+    # a component that fills a chunk of its cell has chunks of its own
+    per = placed.groupBy("cell", "component").agg(F.sum("n").alias("hashes"))
+    big = F.col("hashes") >= CHUNK
+    own = per.where(big).select("cell", "component", F.ceil(F.col("hashes") / CHUNK).alias("own"))
+    mixed = per.where(~big).groupBy("cell").agg(F.ceil(F.sum("hashes") / CHUNK).alias("mixed"))
+    placed = work.table(
+        placed.join(own, ["cell", "component"], "left")
+        .join(mixed, "cell", "left")
+        .withColumn("part", F.pmod(F.xxhash64("set_key"), F.coalesce("own", "mixed")))
+        .withColumn("of", F.when(F.col("own").isNotNull(), F.col("component")))
+        .withColumn("chunk", F.xxhash64("cell", "of", "part"))
+        .select("set_key", "n", "cell", "component", "of", "chunk"),
+        "placed",
+    )
+    chunks = placed.groupBy("cell", "chunk").agg(
+        F.first("of").alias("of"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
+    # pairs of cells that share a bucket which holds several components
+    seen = members.select("set_key", "bucket").join(placed.select("set_key", "cell", "component"), "set_key")
+    seen = seen.groupBy("bucket", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    apart = seen.groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi")
+    seen = seen.join(apart.select("bucket"), "bucket")
+    one = seen.select("bucket", F.col("cell").alias("c"), F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi"))
+    two = seen.select(F.col("bucket").alias("b2"), F.col("cell").alias("d"), F.col("lo").alias("d_lo"), F.col("hi").alias("d_hi"))
+    together = F.least("c_lo", "d_lo") < F.greatest("c_hi", "d_hi")
+    pairs = one.join(two, (F.col("bucket") == F.col("b2")) & (F.col("c") <= F.col("d")) & together)
+    pairs = pairs.select("c", "d").distinct()
+    c, d = (
+        chunks.select(*[F.col(x).alias(f"{p}_{x}") for x in chunks.columns]) for p in ("c", "d")
+    )
+    fit = (100 * F.col("c_most") >= per_cent * F.col("d_least")) & (100 * F.col("d_most") >= per_cent * F.col("c_least"))
+    differ = F.col("c_of").isNull() | F.col("d_of").isNull() | (F.col("c_of") != F.col("d_of"))
+    chunk_pairs = work.table(
+        pairs.join(c, F.col("c") == F.col("c_cell"))
+        .join(d, F.col("d") == F.col("d_cell"))
+        .where(fit & differ & ((F.col("c") < F.col("d")) | (F.col("c_chunk") <= F.col("d_chunk"))))
+        .select("c_chunk", "d_chunk")
+        .distinct(),
+        "chunk-pairs",
+    )
+    sides = chunk_pairs.select(
+        F.xxhash64("c_chunk", "d_chunk").alias("pair"),
+        F.explode(
+            F.when(F.col("c_chunk") == F.col("d_chunk"), F.array(F.struct(F.lit(2).alias("side"), F.col("c_chunk").alias("chunk")))).otherwise(
+                F.array(
+                    F.struct(F.lit(0).alias("side"), F.col("c_chunk").alias("chunk")),
+                    F.struct(F.lit(1).alias("side"), F.col("d_chunk").alias("chunk")),
+                )
+            )
+        ).alias("s"),
+    ).select("pair", "s.side", "s.chunk")
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.array(table.column("side"))
+        left = table.filter(pa.array(side != 1))
+        right = table.filter(pa.array(side != 0))
+        a, b = compare(left, right, bins, per_cent) if left.num_rows and right.num_rows else ([], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = (
+        sides.join(placed.select("set_key", "component", "chunk"), "chunk")
+        .join(classes.select("set_key", "low"), "set_key")
+        .join(sets, "set_key")
+        .select("pair", "side", "set_key", "component", "low", "hashes")
+    )
+    return rows.groupBy("pair").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -223,13 +361,11 @@ def near_duplicates(
     centres = ordered.groupBy("bucket").agg(
         F.max(F.struct("mass", "set_key", "n")).alias("centre")
     )
-    stars = work.table(
+    stars = (
         ordered.join(centres, "bucket")
         .where(F.col("set_key") != F.col("centre.set_key"))
-        .where(_sizes_fit("n", "centre.n", per_cent))
         .select(F.col("set_key").alias("a"), F.col("centre.set_key").alias("b"))
-        .distinct(),
-        "stars",
+        .distinct()
     )
     # full sets of the classes that take part, from the texts of their first documents
     taking = members.select("set_key").distinct().join(classes.select("set_key", "first"), "set_key")
@@ -237,37 +373,21 @@ def near_duplicates(
     sets = work.table(
         _sets(firsts.join(taking, "first"), "text", shingle_words).dropDuplicates(["set_key"]), "sets"
     )
-    links = work.table(_confirmed(stars, sets, per_cent), "links")
+    compared = work.table(_similar(stars, sets), "stars")
+    links = compared.where(100 * F.col("both") >= per_cent * F.col("either")).select("a", "b")
     found_so_far = work.table(components(links, work), "components")
-
-    # what a bucket still holds apart: pairs between its components, if the signatures allow
-    named = members.join(
-        found_so_far.select(F.col("node").alias("set_key"), "component"), "set_key", "left"
-    ).withColumn("component", F.coalesce("component", "set_key"))
-    apart = (
-        named.groupBy("bucket")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        .where("lo < hi")
-        .select("bucket")
-    )
-    # one key per pair of classes is enough: it is tested in the first bucket it shares
-    rest = named.join(apart, "bucket").join(classes.select("set_key", "low"), "set_key")
-    bins = bands * rows
-    share = per_cent / 100
-    least = int(bins * share - MARGIN * (bins * share * (1 - share)) ** 0.5)
-    one = rest.select("bucket", F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("low").alias("la"))
-    two = rest.select("bucket", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("low").alias("lb"))
-    fits = (
-        (F.col("a") < F.col("b"))
-        & (F.col("ca") != F.col("cb"))
-        & (100 * F.least("na", "nb") >= per_cent * F.greatest("na", "nb"))
+    cells = compared.groupBy(F.col("a").alias("set_key")).agg(
+        F.max_by("b", F.col("both") / F.col("either")).alias("cell")
     )
-    crossing = work.table(
-        one.join(two, (one["bucket"] == two["bucket"]) & fits).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"),
-        "crossing",
+    # a centre has a centre too, of larger buckets: cells that meet at one become one
+    up = work.table(cells, "cells").select(F.col("set_key").alias("cell"), F.col("cell").alias("up"))
+    for _ in range(JUMPS):
+        cells = cells.join(up, "cell", "left").select("set_key", F.coalesce("up", "cell").alias("cell"))
+    cells = work.table(cells, "cells")
+    named = found_so_far.select(F.col("node").alias("set_key"), "component")
+    more = work.table(
+        _beyond_centres(members, cells, named, classes, sets, bands * rows, per_cent, work), "more"
     )
-    tried = _confirmed(_likely(crossing, classes, bins, least), sets, per_cent)
-    more = work.table(tried, "more")
     if not more.isEmpty():
         found_so_far = components(links.unionByName(more), work)
 
@@ -295,23 +415,6 @@ def near_duplicates(
     )
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, bins: int, least: int) -> DataFrame:
-    """The pairs whose signatures agree on at least `least` of the bins."""
-    low_a = classes.select(F.col("set_key").alias("a"), F.col("low").alias("x"))
-    low_b = classes.select(F.col("set_key").alias("b"), F.col("low").alias("y"))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = (
-            np.frombuffer(b"".join(z.as_py() for z in batch.column(k)), np.uint8).reshape(-1, bins)
-            for k in (2, 3)
-        )
-        keep = (x == y).sum(1) >= least
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs.join(low_a, "a").join(low_b, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(in_slices(work, 2048), "a long, b long")
-
-
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents, on two-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=2)
