@@ -10,6 +10,10 @@ are scored.
 
 Rounds run over all documents: each step of Newton's method is one pass over the written
 features, in which tasks send on sums whose size is the square of the number of features.
+
+Neither view sees a word. Toxic documents, which mostly are good ones otherwise, are found
+apart, by `toxicity`; a document's score is the lower of the probabilities that it is good
+and that it isn't toxic.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from cinderlog.llm import toxicity
 from cinderlog.llm.common import Scratch, in_slices, table
 
 #: Most labelled rows to start from, and most to calibrate on.
@@ -344,9 +349,11 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "q
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality of all documents, learned from all of them and their labels."""
-    docs = table(spark, sf_dir, "documents")
-    model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select(
-        "doc_id", F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).alias("kept")
-    )
+    """The quality of all documents, learned from all of them and their labels; toxic
+    documents are not kept."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model, marks = learn(docs, labels), toxicity.learn(docs, labels)
+    harmless = docs.withColumn("_harmless", 1 - toxicity.probability(marks))
+    return score(harmless, model).select(
+        "doc_id", F.least("quality_score", "_harmless").alias("score")
+    ).withColumn("kept", F.col("score") >= 0.5)

@@ -13,7 +13,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinderlog.llm import decontamination, line_dedup, minhash, packing, quality
+from cinderlog.llm import decontamination, line_dedup, minhash, packing, quality, toxicity
 from cinderlog.llm.common import Scratch, join_on, table
 from cinderlog.session import shared_folder
 
@@ -45,10 +45,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @_stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat, nearly, an earlier line of the corpus.
+    """Documents that aren't toxic, without the lines that repeat, nearly, an earlier line
+    of one of them.
 
-    A document whose text had a character that isn't white space, and now has none, goes.
+    Toxic documents go before their lines can stand for those of others. A document whose text had a character that isn't white space, and now has none, goes.
     """
+    marks = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    docs = docs.where(toxicity.probability(marks) < 0.5)
     less = line_dedup.dedup_lines(docs.withColumn("_before", F.col("text")))
     full = lambda name: F.coalesce(F.col(name).rlike(r"\S"), F.lit(False))
     return (
