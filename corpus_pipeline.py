@@ -52,7 +52,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     marks = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     docs = docs.where(toxicity.probability(marks) < 0.5)
-    less = line_dedup.dedup_lines(docs.withColumn("_before", F.col("text")))
+    less = line_dedup.dedup_lines(docs.withColumn("_before", F.col("text")), least_equal=line_dedup.LEAST_EQUAL)
     full = lambda name: F.coalesce(F.col(name).rlike(r"\S"), F.lit(False))
     return (
         less.where(full("text") | ~full("_before"))
