@@ -4,8 +4,10 @@ A page becomes a tree of elements, with the closing rules of HTML that matter fo
 Elements that can't be part of an article (menus, forms, scripts and so on, by tag, role
 or name) are cut off. Every run of text in a block is a paragraph: it earns points for its
 length and its commas and passes them to its ancestors, less with every level. A
-container's score is discounted by the share of its text that lies in links. The best
-container is kept, and of its siblings those that score well or are plain paragraphs.
+container's score is discounted by the share of its text that lies in links. From the best
+container it is climbed to the article element around it, or else the main element, or
+else, if siblings of the container score well too, their common ancestor. All of that is
+kept but what was cut, and of its siblings those that score well or are plain paragraphs.
 """
 
 from __future__ import annotations
@@ -264,10 +266,21 @@ def main_text(page: str) -> str:
         return (points[k] + bonus) * (1 - density(k))
 
     keep = [False] * count
+    whole = False
     if points:
         scores = {k: score(k) for k in points}
         best = max(scores, key=lambda k: (scores[k], k))
         least = max(10.0, 0.2 * scores[best])
+        around = [best]
+        while around[-1]:
+            around.append(tree.parents[around[-1]])
+        named = [k for tag in ("main", "article") for k in around if tree.tags[k] == tag]
+        beside = [k for k in scores if k != best and tree.parents[k] == tree.parents[best] and not cut[k] and scores[k] >= least]
+        whole = bool(named)
+        if named:
+            best = named[-1]  # the outermost article, or else the outermost main element
+        elif beside and tree.tags[best] not in ("html", "body"):
+            best = tree.parents[best]
         keep[best] = True
         paragraphs: dict[int, list[str]] = {}
         for node, text, _ in runs:
@@ -283,7 +296,8 @@ def main_text(page: str) -> str:
     else:
         keep[0] = True
     for k in range(1, count):
-        listed = tree.tags[k] in ("ul", "ol", "table", "div", "section") and chars[k] and density(k) > 0.6
+        # lists of links that lie in an article or main element belong to it
+        listed = not whole and tree.tags[k] in ("ul", "ol", "table", "div", "section") and chars[k] and density(k) > 0.6
         keep[k] = (keep[k] or keep[tree.parents[k]]) and not cut[k] and not listed
     return "\n".join(text for node, text, _ in _runs_kept(tree, keep))
 
