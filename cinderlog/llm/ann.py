@@ -257,10 +257,18 @@ def _scored(forest: Forest, asked: DataFrame, k: int, everything: bool) -> DataF
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _floors(forest: Forest, asked: DataFrame, k: int) -> DataFrame:
+    """(q, least): a query's ranges with so many rows hold k rows of other ids; a row is met
+    once in each tree at most, and rows with the query's own id are none."""
+    own = forest.rows.join(asked.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").count()
+    return asked.join(own, "vec_id").select("q", (forest.trees * (k + F.col("count"))).alias("least"))
+
+
 def enough_candidates(forest: Forest, asked: DataFrame, sizes: DataFrame, k: int, recall: float, sample: int) -> int:
     """The fewest rows of ranges with which the sampled queries reach the recall."""
     some = asked.orderBy(F.xxhash64("vec_id"), "q").limit(sample)
     some = forest.work.table(some, "sample")
+    floors = dict(_floors(forest, some, k).collect())  # at most `sample` rows
     true = _scored(forest, some, k, True).select("q", "depth").collect()  # sample * k rows
     held = sizes.join(F.broadcast(some.select("q")), "q").collect()  # sample * (bits + 1) rows
     depths: dict[int, list[int]] = {}
@@ -273,7 +281,7 @@ def enough_candidates(forest: Forest, asked: DataFrame, sizes: DataFrame, k: int
     def reached(enough: int) -> float:
         shares = []
         for q, found in depths.items():
-            level = max([lv for lv, n in rows[q].items() if n >= enough], default=0)
+            level = max([lv for lv, n in rows[q].items() if n >= max(enough, floors[q])], default=0)
             shares.append(sum(d >= level for d in found) / len(found))
         return sum(shares) / len(shares) if shares else 1.0
 
@@ -294,13 +302,14 @@ def search(
 
     `queries` holds rows of `forest.rows`. The score is the inner product in double
     precision, ties go to the smaller vec_id; rows with the query's own id are no
-    candidates. Where fewer rows exist, all are returned.
+    candidates. Where fewer rows exist, all are returned; else every query gets k rows.
     """
     asked = _asked(forest, queries)
     sizes = forest.work.table(_range_sizes(forest, asked), "sizes")
     enough = enough_candidates(forest, asked, sizes, k, recall, sample)
-    level = sizes.groupBy("q").agg(
-        F.coalesce(F.max(F.when(F.col("rows") >= enough, F.col("level"))), F.lit(0)).alias("level")
+    least = F.greatest(F.lit(enough), F.col("least"))
+    level = sizes.join(_floors(forest, asked, k), "q").groupBy("q").agg(
+        F.coalesce(F.max(F.when(F.col("rows") >= least, F.col("level"))), F.lit(0)).alias("level")
     )
     found = _scored(forest, asked.join(level, "q"), k, False)
     return found.select("query_id", "rank", "vec_id", "score")
