@@ -23,7 +23,7 @@ from cinderlog.llm.common import Scratch, table
 
 SLOTS = 4096
 #: Shards may differ from the fair share by this part of it before slots are split.
-TOLERANCE = 0.005
+TOLERANCE = 0.01
 #: A piece of a split slot is at most this part of a shard's fair share.
 FINEST = 1 / 256
 #: Rows of a slot that are numbered together; more make the slot's numbering go in parts.

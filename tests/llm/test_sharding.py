@@ -75,7 +75,7 @@ def test_one_key_with_a_third_of_all_rows_is_split(spark):
 
 
 def test_equal_texts_share_a_shard(spark):
-    rows = [(i, f"text {i % 500}", None, None) for i in range(3000)]
+    rows = [(i, f"text {i % 2000}", None, None) for i in range(6000)]
     shards = defaultdict(set)
     for r in run(frame(spark, rows))[0].collect():
         shards[r.text].add(r["shard"])
