@@ -26,8 +26,9 @@ SLOTS = 4096
 TOLERANCE = 0.01
 #: A piece of a split slot is at most this part of a shard's fair share.
 FINEST = 1 / 256
-#: Rows of a slot that are numbered together; more make the slot's numbering go in parts.
-PART_ROWS = 1_000_000
+#: A slot's numbering goes in parts if it has more rows than this many average slots, but
+#: not in parts of fewer rows than `LEAST_PART`.
+WIDE, LEAST_PART = 4, 1_000
 
 
 @dataclass(frozen=True)
@@ -191,7 +192,8 @@ def shard(
     seen = {r["_slot"]: (r["bytes"], r["rows"]) for r in per_slot.collect()}
     pieces = pieces_needed(seen, shards)
     # pieces of the map, and for numbering alone parts of slots of very many rows
-    parts = {s: -(-rows // PART_ROWS) for s, (_, rows) in seen.items()}
+    part_rows = max(LEAST_PART, WIDE * sum(rows for _, rows in seen.values()) // slots)
+    parts = {s: -(-rows // part_rows) for s, (_, rows) in seen.items()}
     cuts = [(s, pieces.get(s, 1), max(1, -(-parts.get(s, 1) // pieces.get(s, 1)))) for s in range(slots)]
     cut = F.broadcast(spark.createDataFrame(cuts, "_slot int, _pieces int, _parts int"))
     salt = F.xxhash64(F.lit("piece"), "_at")

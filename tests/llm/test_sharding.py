@@ -100,9 +100,9 @@ def test_versions_and_growth(spark):
 
 
 def test_numbering_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "PART_ROWS", 10)
+    monkeypatch.setattr(sharding, "LEAST_PART", 10)
     rows = [(i, f"text {i % 5}", None, None) for i in range(400)]
-    got = run(frame(spark, rows), slots=16, shards=3)[0].collect()
+    got = run(frame(spark, rows), slots=64, shards=3)[0].collect()
     assert len(got) == 400 and all(places(got, "shard", "place").values())
 
 
