@@ -4,6 +4,9 @@ A document's tokens under both tokenizers cover the same bytes. Every stretch be
 neighbouring token ends, of either side, is the overlap of exactly one token of A with one
 of B: a link. Offsets where tokens of both end cut the document into groups.
 
+Neither tokenizer merges anything over a space that follows another character, so texts are cut
+there, and a worker encodes each distinct stretch once, as long as it remembers it.
+
 First pass: documents are aligned, and each task counts, for the pairs of ids it meets, its
 documents that hold them. The distinct pairs are dealt into parts by hash; the tasks' sets
 of a part are united in a tree, and a minimal perfect hash numbers them from 0 without gaps:
@@ -20,6 +23,7 @@ parts of the hash, and their sums come back. Both ways give the same rows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderlog.llm.common import Scratch, in_slices, table
-from cinderlog.llm.tokens import _byte_letters, encoder, public_tokenizer
+from cinderlog.llm.tokens import _byte_letters, _ranks, encoder, public_tokenizer
 
 #: Parts of the distinct pairs, and branches that meet at a node of the trees.
 PARTS, FAN = 256, 16
@@ -37,6 +41,9 @@ BROADCAST_PAIRS = 4_000_000
 HELD = 2_000_000
 #: Bytes of texts that are aligned together.
 SLICE_BYTES = 2_000_000
+#: Stretches a worker remembers, the characters of the longest it does, and how many new ones
+#: are encoded together.
+REMEMBERED, LONGEST, TOGETHER = 400_000, 64, 2_000
 #: Places per pair and level of the hash; levels end when no pair is left.
 SPARSE, LEVELS = 1.6, 64
 
@@ -50,8 +57,8 @@ _LOW = np.int64((1 << 24) - 1)
 class Side:
     """One tokenizer: ids of a text, and the bytes of each id."""
 
-    def __init__(self, encode: Callable[[str], list[int]], pieces: list[bytes]):
-        self.encode, self.pieces = encode, pieces
+    def __init__(self, encode: Callable[[str], list[int]], pieces: list[bytes], cuts_at_spaces: bool):
+        self.encode, self.pieces, self.cuts_at_spaces = encode, pieces, cuts_at_spaces
         self.sizes = np.array([len(x) for x in pieces], np.int64)
 
     @classmethod
@@ -66,7 +73,8 @@ class Side:
         for token, number in vocabulary.items():
             pieces[number] = bytes(letters[c] for c in token) if all(c in letters for c in token) else b""
         ids = encoder(path).ids
-        return cls(lambda text: ids(" " + text), pieces)
+        # run by rank, it first cuts texts by a pattern that never goes on from a word into a space
+        return cls(lambda text: ids(" " + text), pieces, _ranks(path) is not None)
 
     @classmethod
     def sentence_pieces(cls, path: str) -> Side:
@@ -79,17 +87,88 @@ class Side:
             bytes([int(name[3:5], 16)]) if model.is_byte(i) else name.replace("▁", " ").encode()
             for i, name in enumerate(names)
         ]
-        return cls(model.encode, pieces)
+        # a merged piece with a space after another character would have to be in the vocabulary
+        return cls(model.encode, pieces, not any("▁" in name.lstrip("▁") for name in names))
+
+
+_STRETCH = re.compile(r" +[^ ]+(?:(?<=\s) +[^ ]+)*")
+
+
+def stretches(text: str) -> list[str]:
+    """The text with a space before it, cut where a space follows anything but white space."""
+    said = " " + text
+    body = said.rstrip(" ")
+    found = _STRETCH.findall(body)
+    if not found:
+        return [said]
+    found[-1] += said[len(body) :]
+    return found
+
+
+class Encoders:
+    """Both tokenizers, and the stretches they have encoded."""
+
+    def __init__(self, left: Side, right: Side):
+        self.left, self.right = left, right
+        by_stretch = left.cuts_at_spaces and right.cuts_at_spaces
+        self.cut = stretches if by_stretch else lambda text: [" " + text]
+        n = max(len(left.pieces), len(right.pieces))
+        self.names = {end: _labels(n, end) for end in ",|;"}
+        #: stretch -> its ids on both sides (64-bit), None if they don't spell it
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def _encoded(self, said: str) -> tuple[np.ndarray, np.ndarray] | None:
+        a, b, wanted = self.left.encode(said[1:]), self.right.encode(said[1:]), said.encode("utf-8", "surrogatepass")
+        if b"".join(map(self.left.pieces.__getitem__, a)) != wanted or b"".join(map(self.right.pieces.__getitem__, b)) != wanted:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        # stretches that end in a word and begin with a space may follow each other in one text
+        plain = [x for x in new if len(x) <= LONGEST and not x[-1].isspace()] if self.cut is stretches else []
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            both = self._encoded("".join(some))
+            if both is None:
+                continue  # some stretch isn't spelled: each by itself, below
+            ends = np.cumsum([len(x.encode("utf-8", "surrogatepass")) for x in some])
+            cuts = [[0, *np.searchsorted(np.cumsum(side.sizes[ids]), ends, "right").tolist()] for side, ids in zip((self.left, self.right), both)]
+            a, b = (ids.tobytes() for ids in both)
+            for x, i, j, k, m in zip(some, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+                self.known[x] = a[8 * i : 8 * j], b[8 * k : 8 * m]
+        for x in new:
+            if x not in self.known:
+                one = self._encoded(x) if len(x) > 1 else None
+                self.known[x] = one and (one[0].tobytes(), one[1].tobytes())
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """Per text its ids on both sides; None if it is null or empty, or isn't spelled."""
+        cut = [self.cut(x) if x else [] for x in texts]
+        known = self.known
+        new = [x for x in dict.fromkeys(y for row in cut for y in row) if x not in known]
+        self._learn(new)
+        out = []
+        for row in cut:
+            told = [known[x] for x in row]
+            spelled = told and None not in told
+            out.append((b"".join([x[0] for x in told]), b"".join([x[1] for x in told])) if spelled else None)
+        if len(known) > REMEMBERED:
+            known.clear()
+        else:
+            for x in new:
+                if len(x) > LONGEST:
+                    del known[x]
+        return out
 
 
-_SIDES: dict[tuple[str, str], tuple[Side, Side]] = {}
+_ENCODERS: dict[tuple[str, str], Encoders] = {}
 
 
-def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    """Both tokenizers, once per Python worker."""
-    if (path_a, path_b) not in _SIDES:
-        _SIDES[path_a, path_b] = Side.byte_level(path_a), Side.sentence_pieces(path_b)
-    return _SIDES[path_a, path_b]
+def encoders(path_a: str, path_b: str) -> Encoders:
+    """Once per Python worker."""
+    if (path_a, path_b) not in _ENCODERS:
+        _ENCODERS[path_a, path_b] = Encoders(Side.byte_level(path_a), Side.sentence_pieces(path_b))
+    return _ENCODERS[path_a, path_b]
 
 
 @dataclass
@@ -108,24 +187,18 @@ class Aligned:
     link_cuts: np.ndarray
 
 
-def align(texts: list[str | None], left: Side, right: Side) -> Aligned:
+def align(texts: list[str | None], both: Encoders) -> Aligned:
     """Texts that are null or empty, or whose tokens don't spell the text with a space before
     it, have no tokens."""
-    docs, ids_a, ids_b, ends = [], [], [], [0]
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        a, b, said = left.encode(text), right.encode(text), (" " + text).encode("utf-8", "surrogatepass")
-        if b"".join(map(left.pieces.__getitem__, a)) != said or b"".join(map(right.pieces.__getitem__, b)) != said:
-            continue
-        docs.append(k)
-        ids_a.append(np.array(a, np.int64))
-        ids_b.append(np.array(b, np.int64))
-        ends.append(ends[-1] + len(said))
+    told = both.ids(texts)
+    docs = [k for k, ids in enumerate(told) if ids]
+    left, right = both.left, both.right
+    ids_a, ids_b = ([np.frombuffer(told[k][side], np.int64) for k in docs] for side in (0, 1))
     nothing = np.zeros(0, np.int64)
     a, b = np.concatenate([nothing, *ids_a]), np.concatenate([nothing, *ids_b])
     a_ends, b_ends = np.cumsum(left.sizes[a]), np.cumsum(right.sizes[b])
-    in_a, in_b = np.zeros(ends[-1] + 1, bool), np.zeros(ends[-1] + 1, bool)
+    length = int(a_ends[-1]) if len(a) else 0
+    in_a, in_b = np.zeros(length + 1, bool), np.zeros(length + 1, bool)
     in_a[a_ends] = True
     in_b[b_ends] = True
     at = np.flatnonzero(in_a | in_b)
@@ -133,11 +206,10 @@ def align(texts: list[str | None], left: Side, right: Side) -> Aligned:
     a_at = np.cumsum(a_here) - a_here
     b_at = np.cumsum(b_here) - b_here
     common = np.flatnonzero(in_a & in_b)
-    cuts = np.array(ends)
-    starts = lambda sizes: np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    a_cuts, b_cuts = (np.cumsum([0, *map(len, ids)]) for ids in (ids_a, ids_b))
+    cuts = np.concatenate([[0], a_ends])[a_cuts]
     return Aligned(
-        np.array(docs, np.int64), a, b, in_b[a_ends], in_a[b_ends], (a[a_at] << _SHIFT) | b[b_at],
-        starts([len(x) for x in ids_a]), starts([len(x) for x in ids_b]),
+        np.array(docs, np.int64), a, b, in_b[a_ends], in_a[b_ends], (a[a_at] << _SHIFT) | b[b_at], a_cuts, b_cuts,
         np.searchsorted(common, cuts, "right"), np.searchsorted(at, cuts, "right"),
     )
 
@@ -265,12 +337,12 @@ def pair_counts(df: DataFrame, text_col: str, path_a: str, path_b: str, parts: i
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        left, right = sides(path_a, path_b)
+        both = encoders(path_a, path_b)
         task = TaskContext.get().partitionId()
         keys, counts = [], []
 
         def count(batch: pa.RecordBatch) -> None:
-            k, c = _documents_with(align(batch.column(0).to_pylist(), left, right))
+            k, c = _documents_with(align(batch.column(0).to_pylist(), both))
             keys.append(k), counts.append(c)
             if sum(map(len, keys)) > HELD:
                 k, c = _summed(np.concatenate(keys), np.concatenate(counts))
@@ -436,11 +508,6 @@ def _facts(found: Aligned, n: int, names: dict[str, np.ndarray]) -> list[pa.Arra
     return [*columns, pa.array(hashes, pa.string())]
 
 
-def _names(left: Side, right: Side) -> dict[str, np.ndarray]:
-    n = max(len(left.pieces), len(right.pieces))
-    return {end: _labels(n, end) for end in ",|;"}
-
-
 def _sums(found: Aligned, n: int, counts: np.ndarray, best: np.ndarray) -> list[pa.Array]:
     """n_best and count_sum of n texts, from the links' counts and whether they are best."""
     out = []
@@ -496,20 +563,18 @@ def _by_broadcast(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a
     counts = np.concatenate([np.zeros(0, np.int64), *[_numbers(r["counts"]) for r in held.values()]])
     counts = counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
     known = rows.sparkSession.sparkContext.broadcast((hashes, counts, highest))
-    names: dict[str, np.ndarray] = {}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = sides(path_a, path_b)
-        names.update(names or _names(left, right))
         hashes, counts, highest = known.value
-        found = align(batch.column(1).to_pylist(), left, right)
+        both = encoders(path_a, path_b)
+        found = align(batch.column(1).to_pylist(), both)
         at = hashes.verified(found.pairs)
         if (at < 0).any():
             raise ValueError("a link has no count: the documents changed between the passes")
         count = counts[at].astype(np.int64) if len(at) else at
         best = count == highest[found.pairs >> _SHIFT]
         n = batch.num_rows
-        *facts, sha = _facts(found, n, names)
+        *facts, sha = _facts(found, n, both.names)
         return pa.RecordBatch.from_arrays(
             [batch.column(0), *facts, *_sums(found, n, count, best), sha],
             ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
@@ -522,13 +587,11 @@ def _by_broadcast(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a
 def _by_parts(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a: str, path_b: str, parts: int, work: Scratch) -> DataFrame:
     """The links of each slice of documents go to the parts of the hash; sums come back."""
     kind = _kind(rows)
-    names: dict[str, np.ndarray] = {}
     known = rows.sparkSession.sparkContext.broadcast(highest)  # one number per id of A
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
-        left, right = sides(path_a, path_b)
-        names.update(names or _names(left, right))
-        found = align(batch.column(2).to_pylist(), left, right)
+        both = encoders(path_a, path_b)
+        found = align(batch.column(2).to_pylist(), both)
         n = batch.num_rows
         doc = np.repeat(found.docs, np.diff(found.link_cuts))
         at = part_of(found.pairs, parts)
@@ -538,7 +601,7 @@ def _by_parts(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a: st
             places.append(part), sent.append(found.pairs[mine].tobytes()), docs.append(doc[mine].astype("<i8").tobytes())
         m = len(places)
         rids = np.array(batch.column(0).to_pylist(), np.int64)
-        facts = [pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in _facts(found, n, names)]
+        facts = [pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in _facts(found, n, both.names)]
         return pa.RecordBatch.from_arrays(
             [
                 pa.concat_arrays([batch.column(0).cast(pa.int64()), pa.nulls(m, pa.int64())]),
@@ -552,7 +615,7 @@ def _by_parts(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a: st
         )
 
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    both = work.table(
+    sent = work.table(
         numbered.mapInArrow(
             in_slices(send, column=2, size=SLICE_BYTES),
             f"rid long, doc_id {kind}, {_COUNTED}, part int, links binary, docs binary",
@@ -575,9 +638,9 @@ def _by_parts(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a: st
         np.add.at(sums[1], where, count)
         return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(sums[0]), pa.array(sums[1])], ["rid", "n_best", "count_sum"])
 
-    sent = both.where("part is not null").select("part", "links", "docs")
+    links = sent.where("part is not null").select("part", "links", "docs")
     sums = (
-        sent.join(pairs, "part")
+        links.join(pairs, "part")
         .select("sizes", "bits", "keys", "counts", "links", "docs")
         .mapInArrow(in_slices(look_up, rows=1), "rid long, n_best long, count_sum long")
         .groupBy("rid")
@@ -585,7 +648,7 @@ def _by_parts(rows: DataFrame, pairs: DataFrame, highest: np.ndarray, path_a: st
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return (
-        both.where("part is null")
+        sent.where("part is null")
         .join(sums, "rid", "left")
         .select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
     )

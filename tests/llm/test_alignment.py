@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment against byte ownership, token by token."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,6 +105,22 @@ def test_odd_texts_both_ways(spark, broadcast_pairs):
     assert any(x[1] == 0 and TEXTS[x[0]] for x in expected)  # some text isn't spelled by its tokens
 
 
+def test_cuts_at_spaces_change_nothing(monkeypatch):
+    """Random texts of characters that meet in odd ways, cut and whole."""
+    rng = random.Random(4)
+    signs = [" ", " ", "\n", "\t", "a", "b", "'s", "'", "é", "▁", ",", "1", "\u00a0", "\u3000", "\x1c", "\u0301", "the", "你"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.choice([1, 2, 4, 9, 40]))) for _ in range(3000)]
+    paths = str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model"))
+    both = alignment.Encoders(alignment.Side.byte_level(paths[0]), alignment.Side.sentence_pieces(paths[1]))
+    assert both.cut is alignment.stretches
+    monkeypatch.setattr(alignment, "TOGETHER", 7)
+    for text, ids in zip(texts, both.ids(texts)):
+        whole = aligned(text)
+        assert (ids is None) == (whole is None), text
+        if ids:
+            assert [np.frombuffer(x, np.int64).tolist() for x in ids] == [whole[0], whole[1]], text
+
+
 @pytest.mark.parametrize("broadcast_pairs", [0, 10])
 def test_empty_table_and_no_tokens(spark, broadcast_pairs):
     kinds = "doc_id long, text string"
@@ -119,6 +136,7 @@ def test_many_tasks_meet_in_a_tree(spark, monkeypatch):
     expected = sorted((k, *x) for (k, _), x in zip(data, brute([x for _, x in data])))
     monkeypatch.setattr(alignment, "FAN", 3)
     monkeypatch.setattr(alignment, "HELD", 5)
+    monkeypatch.setattr(alignment, "REMEMBERED", 3)
     assert rows(alignment.aligned_counts(df, parts=3)) == expected
 
 
