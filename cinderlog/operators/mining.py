@@ -9,21 +9,29 @@ a new template. The result depends on the order, yet almost all of the work does
   wildcard) for good, so only the first occurrence of a sequence can change anything.
   Mining runs on distinct sequences with their first line.
 * The first sequence of a leaf always founds its first template, which is a plain
-  aggregate. What is left is folded in rounds: per leaf the next block of sequences in
-  line order, then everything the changed templates now cover is dropped by a hash join.
+  aggregate. What is left is folded leaf by leaf in line order. An inverted index from
+  position and token to templates finds the best one: a sequence meets only the
+  templates it shares a token with, not all of its leaf.
+* A leaf of up to `LARGEST_BLOCK` sequences is folded at once, so the number of rounds does
+  not depend on it. A wider one takes a block a round, and what its templates now cover is dropped.
 
 A round gives a task at most one block per leaf and the templates that block can touch.
 Every state change is kept as a version ``(leaf, created, from_line, tokens)``; a
 template is named by the line that created it.
+
+Which templates cover a sequence is found by walking a trie of the leaf's wildcard
+patterns, along the sequence's token and along the wildcard at each position. A walk yields
+the steps of the sequence alone, so rows stay in proportion to the sequences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from array import array
+from collections import defaultdict
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,10 +45,12 @@ from ..session import Workspace
 _STEP = "\x1f"
 VERSION_SCHEMA = "leaf string, created bigint, from_line bigint, tokens array<string>"
 
-FIRST_BLOCK = 512
-LARGEST_BLOCK = 4096
-LEAF_TEMPLATES = 20_000
+FIRST_BLOCK = LARGEST_BLOCK = 50_000
+LEAF_TEMPLATES = 50_000
 ROWS_PER_FOLD = 20_000
+ROWS_PER_WALK = 50_000
+# Agreements counted one by one; more are counted by numpy.
+FEW = 64
 BROADCAST_STEPS = 100_000
 
 
@@ -74,22 +84,6 @@ def pattern(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
 
-def _wild_places(tokens: Column) -> Column:
-    """Which positions are wildcards, as text like ``0100``."""
-    return F.array_join(
-        F.transform(tokens, lambda t: F.when(t == fixed.WILDCARD, "1").otherwise("0")), ""
-    )
-
-
-def _blanked(tokens: Column, places: Column) -> Column:
-    """The pattern a template with these wildcard positions must have to cover tokens."""
-    kept = F.transform(
-        tokens,
-        lambda t, i: F.when(F.substring(places, i + 1, F.lit(1)) == "1", fixed.WILDCARD).otherwise(t),
-    )
-    return pattern(kept)
-
-
 # --- distinct sequences and routing --------------------------------------------------
 
 
@@ -191,70 +185,123 @@ def route(
 # --- folding -----------------------------------------------------------------------------
 
 
-def _codes(lists: Iterable) -> tuple[np.ndarray, np.ndarray]:
-    """Token lists of equal length as a matrix of codes; the wildcard is code 0."""
-    flat = np.concatenate([np.asarray(tokens, dtype=object) for tokens in lists])
-    codes, names = pd.factorize(np.concatenate([[fixed.WILDCARD], flat]))
-    return codes[1:].reshape(len(lists), -1).astype(np.int32), np.asarray(names, dtype=object)
-
-
-def _agreement(templates: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return ((templates == tokens) | (templates == 0)).sum(axis=1)
-
-
-def _fold_leaf(block: pd.DataFrame, old: pd.DataFrame, threshold: float):
-    """Fold one leaf's block into its templates; yields ``(created, line, tokens)`` for
-    every change."""
-    block = block.sort_values("first_line")
-    old = old.sort_values("created")
-    matrix, names = _codes([*old["tokens"], *block["tokens"]])
-    count, width = len(old), matrix.shape[1]
-    templates = matrix.copy()
-    created = [*old["created"], *([0] * len(block))]
-    for line, tokens in zip(block["first_line"], matrix[count:].copy()):
-        best = -1
-        if count:
-            agreement = _agreement(templates[:count], tokens)
-            best = int(agreement.argmax())  # the oldest of equals
-            if agreement[best] / width < threshold:
-                best = -1
-        if best < 0:
-            best, count = count, count + 1
-            templates[best], created[best] = tokens, line
-        else:
-            merged = np.where(templates[best] == tokens, tokens, 0)
-            if (merged == templates[best]).all():
-                continue
-            templates[best] = merged
-        yield created[best], line, list(names[templates[best]])
+class _Leaf:
+    """Templates of one leaf, oldest first, with an index of their fixed tokens."""
+
+    def __init__(self) -> None:
+        self.created: list[int] = []
+        self.tokens: list[list[str]] = []
+        self.wild = array("i")  # wildcards per template
+        self.postings: dict[tuple[int, str], array] = {}  # (position, token) -> templates
+        self.widest = -1  # the oldest template with the most wildcards
+
+    def add(self, created: int, tokens: list[str]) -> None:
+        number = len(self.created)
+        self.created.append(created)
+        self.tokens.append(tokens)
+        self.wild.append(0)
+        for key in enumerate(tokens):
+            if key[1] == fixed.WILDCARD:
+                self.wild[number] += 1
+            elif key in self.postings:
+                self.postings[key].append(number)
+            else:
+                self.postings[key] = array("i", (number,))
+        self._widen(number)
+
+    def _widen(self, number: int) -> None:
+        """Keeps `widest` right after a template has been added or got wildcards."""
+        most = self.wild[self.widest] if self.widest >= 0 else -1
+        if (self.wild[number], -number) > (most, -self.widest):
+            self.widest = number
+
+    def best(self, tokens: list[str]) -> tuple[int, int]:
+        """The template most positions agree with, the oldest of equals, and their number.
+
+        A template agrees at its wildcards and where it has the same token. One without a
+        token in common agrees at its wildcards only, so of those the widest is enough.
+        """
+        if self.widest < 0:
+            return -1, 0
+        met = [self.postings[key] for key in enumerate(tokens) if key in self.postings]
+        most, best = self.wild[self.widest], self.widest
+        if sum(map(len, met)) <= FEW:
+            same: dict[int, int] = defaultdict(int)
+            for numbers in met:
+                for number in numbers:
+                    same[number] += 1
+            for number, count in same.items():
+                count += self.wild[number]
+                if count > most or count == most and number < best:
+                    most, best = count, number
+            return best, most
+        counts = np.bincount(np.concatenate([np.frombuffer(numbers, np.intc) for numbers in met]))
+        numbers = np.flatnonzero(counts)
+        agreement = counts[numbers] + np.frombuffer(self.wild, np.intc)[numbers]
+        top = int(agreement.argmax())  # the oldest of equals
+        if agreement[top] > most or agreement[top] == most and numbers[top] < best:
+            most, best = int(agreement[top]), int(numbers[top])
+        return best, most
+
+    def absorb(self, line: int, tokens: list[str], threshold: float) -> tuple[int, list[str]] | None:
+        """Folds the sequence in; the changed template, if one has changed."""
+        best, most = self.best(tokens)
+        if best < 0 or most / len(tokens) < threshold:
+            self.add(line, tokens)
+            return line, tokens
+        if most == len(tokens):
+            return None
+        merged = list(self.tokens[best])
+        for place, (own, token) in enumerate(zip(merged, tokens)):
+            if own != token and own != fixed.WILDCARD:
+                merged[place] = fixed.WILDCARD
+                self.wild[best] += 1
+                self.postings[place, own].remove(best)
+        self.tokens[best] = merged
+        self._widen(best)
+        return self.created[best], merged
+
+
+def _rows(table: pa.Table, *names: str, by: str):
+    ordered = table.sort_by([("leaf", "ascending"), (by, "ascending")])
+    return zip(*[ordered.column(name).to_pylist() for name in names])
+
+
+def _indexed(old: pa.Table) -> dict[str, _Leaf]:
+    leaves: dict[str, _Leaf] = defaultdict(_Leaf)
+    for leaf, created, tokens in _rows(old, "leaf", "created", "tokens", by="created"):
+        leaves[leaf].add(created, tokens)
+    return leaves
 
 
 def _fold(threshold: float):
-    def fold(block: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        by_leaf = dict(tuple(old.groupby("leaf", sort=False)))
-        rows = [
-            (leaf, *change)
-            for leaf, part in block.groupby("leaf", sort=False)
-            for change in _fold_leaf(part, by_leaf.get(leaf, old.iloc[:0]), threshold)
-        ]
-        return pd.DataFrame(rows, columns=["leaf", "created", "from_line", "tokens"])
+    def fold(block: pa.Table, old: pa.Table) -> pa.Table:
+        leaves, changes = _indexed(old), []
+        for leaf, line, tokens in _rows(block, "leaf", "first_line", "tokens", by="first_line"):
+            change = leaves[leaf].absorb(line, tokens, threshold)
+            if change:
+                changes.append((leaf, change[0], line, change[1]))
+        columns = list(zip(*changes)) or [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+        return pa.table(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["leaf", "created", "from_line", "tokens"]
+        )
 
     return fold
 
 
 def _best_in_part(threshold: float):
-    def best(block: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(block) and len(old):
-            old = old.sort_values("created")
-            matrix, _ = _codes([*old["tokens"], *block["tokens"]])
-            templates, created = matrix[: len(old)], old["created"].to_numpy()
-            for line, tokens in zip(block["first_line"], matrix[len(old) :]):
-                agreement = _agreement(templates, tokens)
-                top = int(agreement.argmax())
-                if agreement[top] / matrix.shape[1] >= threshold:
-                    rows.append((line, created[top], int(agreement[top])))
-        return pd.DataFrame(rows, columns=["first_line", "created", "agreement"])
+    def best(block: pa.Table, old: pa.Table) -> pa.Table:
+        leaves, found = _indexed(old), []
+        for leaf, line, tokens in _rows(block, "leaf", "first_line", "tokens", by="first_line"):
+            number, most = leaves[leaf].best(tokens)
+            if number >= 0 and most / len(tokens) >= threshold:
+                found.append((line, leaves[leaf].created[number], most))
+        columns = list(zip(*found)) or [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.int32())
+        return pa.table(
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["first_line", "created", "agreement"]
+        )
 
     return best
 
@@ -289,7 +336,7 @@ def _touchable(
     best = (
         asked.groupBy("leaf", "part")
         .cogroup(large.groupBy("leaf", "part"))
-        .applyInPandas(
+        .applyInArrow(
             _best_in_part(threshold), "first_line bigint, created bigint, agreement int"
         )
         .groupBy("first_line")
@@ -308,34 +355,103 @@ def latest(versions: DataFrame) -> DataFrame:
     )
 
 
-def _covers(versions: DataFrame) -> DataFrame:
-    """Versions with wildcards, by wildcard positions and pattern."""
-    return versions.filter(F.array_contains("tokens", fixed.WILDCARD)).select(
-        "leaf",
-        "created",
-        "from_line",
-        _wild_places(F.col("tokens")).alias("places"),
-        pattern(F.col("tokens")).alias("cover"),
+class _Trie:
+    """Wildcard patterns of one leaf; a walk finds those that cover a token sequence."""
+
+    def __init__(self) -> None:
+        self.root: dict = {}
+
+    def add(self, tokens: list[str], version: tuple[int, int]) -> None:
+        node = self.root
+        for token in tokens:
+            node = node.setdefault(token, {})
+        node.setdefault(None, []).append(version)  # None is no token
+
+    def covering(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """The versions ``(from_line, created)`` whose pattern covers the sequence."""
+        nodes = [self.root]
+        for token in tokens:
+            branches = (token, fixed.WILDCARD) if token != fixed.WILDCARD else (token,)
+            nodes = [node[branch] for node in nodes for branch in branches if branch in node]
+            if not nodes:
+                return []
+        return [version for node in nodes for version in node[None]]
+
+
+def _oldest_over_lines(versions: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of versions ``(from_line, created)`` those that are the oldest template yet."""
+    kept: list[tuple[int, int]] = []
+    for from_line, created in sorted(versions):
+        if not kept or created < kept[-1][1]:
+            kept.append((from_line, created))
+    return kept
+
+
+def _walk(texts: pa.Table, patterns: pa.Table) -> pa.Table:
+    tries: dict[tuple, _Trie] = defaultdict(_Trie)
+    names = ("leaf", "part", "salt", "from_line", "created", "tokens")
+    for *group, from_line, created, tokens in zip(*[patterns.column(n).to_pylist() for n in names]):
+        tries[tuple(group)].add(tokens, (from_line, created))
+    steps = []
+    names = ("leaf", "part", "salt", "first_line", "tokens")
+    for *group, first_line, tokens in zip(*[texts.column(n).to_pylist() for n in names]):
+        group = tuple(group)
+        if group in tries:
+            steps += [(first_line, *s) for s in _oldest_over_lines(tries[group].covering(tokens))]
+    columns = list(zip(*steps)) or [()] * 3
+    return pa.table(
+        [pa.array(c, pa.int64()) for c in columns], ["first_line", "from_line", "created"]
     )
 
 
-def _candidates(sequences: DataFrame, covers: DataFrame) -> DataFrame:
-    """Each sequence once per set of wildcard positions used in its leaf, with the
-    pattern that would cover it. Covering thereby becomes equality, a hash join, and no
-    sequence is compared with every template of its leaf."""
-    return sequences.join(covers.select("leaf", "places").distinct(), "leaf").withColumn(
-        "cover", _blanked(F.col("tokens"), F.col("places"))
+def covering_versions(
+    sequences: DataFrame, versions: DataFrame, rows_per_walk: int = ROWS_PER_WALK
+) -> DataFrame:
+    """``(first_line, from_line, created)``: the wildcard versions that cover a sequence and
+    are the oldest template to do so yet.
+
+    Leaves share a task up to `rows_per_walk` rows. The sequences of a wider leaf are
+    salted, each salt with the leaf's patterns; patterns beyond that number are walked in parts.
+    """
+    patterns = versions.filter(F.array_contains("tokens", fixed.WILDCARD)).select(
+        "leaf", "created", "from_line", "tokens"
+    )
+    parts = patterns.groupBy("leaf").agg(
+        F.ceil(F.count("*") / rows_per_walk).cast("int").alias("parts")
     )
+    texts = sequences.select("leaf", "first_line", "tokens").join(parts, "leaf")
+    salts = texts.groupBy("leaf").agg(F.ceil(F.count("*") / rows_per_walk).cast("int").alias("salts"))
 
+    def spread(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-def uncovered(sequences: DataFrame, versions: DataFrame) -> DataFrame:
-    covers = _covers(versions)
-    covered = (
-        _candidates(sequences, covers)
-        .join(covers.select("leaf", "cover").distinct(), ["leaf", "cover"], "left_semi")
-        .select("first_line")
-        .distinct()
+    def dealt(key: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    texts = (
+        texts.join(salts, "leaf")
+        .withColumn("salt", dealt("first_line", "salts"))
+        .select("leaf", spread("parts").alias("part"), "salt", "first_line", "tokens")
     )
+    patterns = (
+        patterns.join(parts, "leaf")
+        .join(salts, "leaf")
+        .withColumn("part", dealt("created", "parts"))
+        .select("leaf", "part", spread("salts").alias("salt"), "from_line", "created", "tokens")
+    )
+    # at least as many as the rows need, of which a group has no more than both sides' limit
+    buckets = (sequences.count() + versions.count()) // rows_per_walk + 1
+    bucket = F.pmod(F.xxhash64("leaf", "part", "salt"), F.lit(buckets))
+    return (
+        texts.withColumn("_bucket", bucket)
+        .groupBy("_bucket")
+        .cogroup(patterns.select(*patterns.columns, bucket.alias("_walk")).groupBy("_walk"))
+        .applyInArrow(_walk, "first_line bigint, from_line bigint, created bigint")
+    )
+
+
+def uncovered(sequences: DataFrame, versions: DataFrame) -> DataFrame:
+    covered = covering_versions(sequences, versions).select("first_line").distinct()
     return sequences.join(covered, "first_line", "left_anti")
 
 
@@ -365,13 +481,19 @@ def mine(
         "remaining",
     )
     size = first_block
-    while (left := remaining.count()) > 0:
-        place = W.partitionBy("leaf").orderBy("first_line")
-        block = (
-            remaining.withColumn("_place", F.row_number().over(place))
-            .filter(F.col("_place") <= size)
-            .drop("_place")
-        )
+    while True:
+        per_leaf = remaining.groupBy("leaf").count()
+        left, widest = per_leaf.agg(F.coalesce(F.sum("count"), F.lit(0)), F.max("count")).first()
+        if not left:
+            break
+        block = remaining
+        if widest > size:
+            place = W.partitionBy("leaf").orderBy("first_line")
+            block = (
+                remaining.withColumn("_place", F.row_number().over(place))
+                .filter(F.col("_place") <= size)
+                .drop("_place")
+            )
         versions = reduce(DataFrame.unionByName, done)
         active = remaining.select("leaf").distinct()
         old = workspace.table(latest(versions.join(active, "leaf", "left_semi")), "templates")
@@ -384,12 +506,14 @@ def mine(
             block.withColumn("_bucket", bucket)
             .groupBy("_bucket")
             .cogroup(old.withColumn("_bucket", bucket).groupBy("_bucket"))
-            .applyInPandas(_fold(sim_threshold), VERSION_SCHEMA),
+            .applyInArrow(_fold(sim_threshold), VERSION_SCHEMA),
             "versions",
         )
+        done.append(changed)
+        if widest <= size:
+            break
         rest = remaining.join(block.select("first_line"), "first_line", "left_anti")
         remaining = workspace.table(uncovered(rest, latest(changed)), "remaining")
-        done.append(changed)
         if len(done) > 8:
             done = [workspace.table(reduce(DataFrame.unionByName, done), "versions")]
         size = min(2 * size, largest_block)
@@ -406,27 +530,22 @@ def sequence_steps(sequences: DataFrame, versions: DataFrame) -> DataFrame:
     At a line the oldest template covering the sequence wins. Nearly every sequence has
     one step; it has more when an older template later widens enough to cover it.
     """
-    covers = _covers(versions)
-    by_wildcards = (
-        _candidates(sequences.select("sequence", "first_line", "leaf", "tokens"), covers)
-        .join(covers, ["leaf", "places", "cover"])
-        .select("sequence", "first_line", "created", "from_line")
-    )
-    founded = versions.filter(F.col("created") == F.col("from_line")).select("created")
-    by_founding = sequences.join(founded, F.col("first_line") == F.col("created")).select(
-        "sequence", "first_line", "created", F.col("created").alias("from_line")
+    by_wildcards = covering_versions(sequences, versions)
+    by_founding = versions.filter(F.col("created") == F.col("from_line")).select(
+        F.col("created").alias("first_line"), "from_line", "created"
     )
-    order = W.partitionBy("sequence").orderBy("from_line")
+    order = W.partitionBy("first_line").orderBy("from_line")
     earlier = order.rowsBetween(W.unboundedPreceding, -1)
     oldest_before = F.min("created").over(earlier)
     return (
         by_wildcards.unionByName(by_founding)
-        .groupBy("sequence", "first_line", "created")
+        .groupBy("first_line", "created")
         .agg(F.min("from_line").alias("from_line"))
         .withColumn("_oldest", oldest_before)
         .filter(F.col("_oldest").isNull() | (F.col("created") < F.col("_oldest")))
         .withColumn("to_line", F.lead("from_line").over(order))
         .filter(F.col("to_line").isNull() | (F.col("to_line") > F.col("first_line")))
+        .join(sequences.select("sequence", "first_line"), "first_line")
         .select("sequence", "from_line", "to_line", "created")
     )
 
