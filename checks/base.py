@@ -395,45 +395,65 @@ def _chain(source: str) -> str:
     return f"SELECT * REPLACE ({collapse_sql('m')} AS m) FROM ({sql})"
 
 
-part("masked", _chain("maskable"), ("maskable",))
-part(
-    "seqs",
-    """SELECT sequence, min(line_no) AS first_line, count(*) AS events, string_split(sequence, ' ') AS tokens FROM (
-       SELECT CASE WHEN m = '' THEN '<empty>' ELSE m END AS sequence, line_no FROM masked WHERE trim(raw) <> '')
-       GROUP BY sequence""",
-    ("masked",),
-)
 KEY = r"CASE WHEN {t} LIKE '<%' AND {t} LIKE '%>' THEN {t} WHEN regexp_matches({t}, '\p{{Nd}}') THEN '<*>' ELSE {t} END"
-part("route0", "SELECT *, CAST(len(tokens) AS VARCHAR) AS leaf FROM seqs", ("seqs",))
-for _level in range(1, 5):
-    _key = KEY.format(t=f"tokens[{_level}]")
+
+
+def _mining(source: str, of: str = "") -> None:
+    """The parts of sequential mining over the lines of a part; their names end in `of`."""
+    part(f"masked{of}", _chain(source), (source,))
     part(
-        f"route{_level}",
-        f"""SELECT * EXCLUDE (key, node, arrival), CASE WHEN key IS NULL THEN node
-        ELSE node || chr(31) || CASE WHEN arrival <= 100 THEN key ELSE '<*>' END END AS leaf FROM (
-        SELECT r.*, a.arrival FROM (SELECT * EXCLUDE (leaf), leaf AS node,
-        CASE WHEN len(tokens) >= {_level} THEN {_key} END AS key FROM route{_level - 1}) r
-        LEFT JOIN (SELECT node, key, row_number() OVER (PARTITION BY node ORDER BY line) AS arrival FROM (
-        SELECT leaf AS node, {_key} AS key, min(first_line) AS line FROM route{_level - 1}
-        WHERE len(tokens) >= {_level} GROUP BY ALL)) a ON a.node = r.node AND a.key = r.key)""",
-        (f"route{_level - 1}",),
+        f"seqs{of}",
+        f"""SELECT sequence, min(line_no) AS first_line, count(*) AS events, string_split(sequence, ' ') AS tokens FROM (
+           SELECT CASE WHEN m = '' THEN '<empty>' ELSE m END AS sequence, line_no FROM masked{of} WHERE trim(raw) <> '')
+           GROUP BY sequence""",
+        (f"masked{of}",),
     )
+    part(f"route0{of}", f"SELECT *, CAST(len(tokens) AS VARCHAR) AS leaf FROM seqs{of}", (f"seqs{of}",))
+    for level in range(1, 5):
+        key = KEY.format(t=f"tokens[{level}]")
+        part(
+            f"route{level}{of}",
+            f"""SELECT * EXCLUDE (key, node, arrival), CASE WHEN key IS NULL THEN node
+            ELSE node || chr(31) || CASE WHEN arrival <= 100 THEN key ELSE '<*>' END END AS leaf FROM (
+            SELECT r.*, a.arrival FROM (SELECT * EXCLUDE (leaf), leaf AS node,
+            CASE WHEN len(tokens) >= {level} THEN {key} END AS key FROM route{level - 1}{of}) r
+            LEFT JOIN (SELECT node, key, row_number() OVER (PARTITION BY node ORDER BY line) AS arrival FROM (
+            SELECT leaf AS node, {key} AS key, min(first_line) AS line FROM route{level - 1}{of}
+            WHERE len(tokens) >= {level} GROUP BY ALL)) a ON a.node = r.node AND a.key = r.key)""",
+            (f"route{level - 1}{of}",),
+        )
+    part(
+        f"arrivals{of}",
+        f"SELECT sequence, leaf, first_line, tokens, row_number() OVER (PARTITION BY leaf ORDER BY first_line) AS k FROM route4{of}",
+        (f"route4{of}",),
+    )
+    part(
+        f"folded{of}",
+        f"""SELECT leaf, k, first_line, [{{'created': first_line, 'words': tokens}}] AS templates FROM arrivals{of} WHERE k = 1
+            UNION ALL
+            SELECT leaf, k, first_line, CASE WHEN list_max(agree) / len(tokens) >= {fixed.SIM_THRESHOLD}
+            THEN list_transform(templates, lambda t, i: CASE WHEN i = list_position(agree, list_max(agree))
+            THEN {{'created': t.created, 'words': list_transform(list_zip(t.words, tokens),
+            lambda x: CASE WHEN x[1] = x[2] THEN x[1] ELSE '<*>' END)}} ELSE t END)
+            ELSE list_append(templates, {{'created': first_line, 'words': tokens}}) END AS templates
+            FROM (SELECT a.leaf, a.k, a.first_line, a.tokens, f.templates, list_transform(f.templates, lambda t:
+            len(list_filter(list_zip(t.words, a.tokens), lambda x: x[1] = '<*>' OR x[1] = x[2]))) AS agree
+            FROM folded{of} f JOIN arrivals{of} a ON a.leaf = f.leaf AND a.k = f.k + 1)""",
+        (f"arrivals{of}",),
+    )
+
+
+_mining("maskable")
+_mining("doc_lines", "_docs")
+# An event belongs to the oldest template that covers it once its leaf has read its line.
 part(
-    "arrivals",
-    "SELECT leaf, first_line, tokens, row_number() OVER (PARTITION BY leaf ORDER BY first_line) AS k FROM route4",
-    ("route4",),
-)
-part(
-    "folded",
-    f"""SELECT leaf, k, [{{'created': first_line, 'words': tokens}}] AS templates FROM arrivals WHERE k = 1
-        UNION ALL
-        SELECT leaf, k, CASE WHEN list_max(agree) / len(tokens) >= {fixed.SIM_THRESHOLD}
-        THEN list_transform(templates, lambda t, i: CASE WHEN i = list_position(agree, list_max(agree))
-        THEN {{'created': t.created, 'words': list_transform(list_zip(t.words, tokens),
-        lambda x: CASE WHEN x[1] = x[2] THEN x[1] ELSE '<*>' END)}} ELSE t END)
-        ELSE list_append(templates, {{'created': first_line, 'words': tokens}}) END AS templates
-        FROM (SELECT a.leaf, a.k, a.first_line, a.tokens, f.templates, list_transform(f.templates, lambda t:
-        len(list_filter(list_zip(t.words, a.tokens), lambda x: x[1] = '<*>' OR x[1] = x[2]))) AS agree
-        FROM folded f JOIN arrivals a ON a.leaf = f.leaf AND a.k = f.k + 1)""",
-    ("arrivals",),
+    "assigned_docs",
+    """SELECT line_no, min(t.created) AS created FROM (
+       SELECT e.line_no, e.tokens, unnest(f.templates) AS t FROM (
+       SELECT m.line_no, a.leaf, a.tokens FROM masked_docs m JOIN arrivals_docs a
+       ON a.sequence = CASE WHEN m.m = '' THEN '<empty>' ELSE m.m END WHERE trim(m.raw) <> '') e
+       ASOF JOIN folded_docs f ON e.leaf = f.leaf AND e.line_no >= f.first_line)
+       WHERE len(list_filter(list_zip(t.words, tokens), lambda x: x[1] = '<*>' OR x[1] = x[2])) = len(tokens)
+       GROUP BY line_no""",
+    ("masked_docs", "arrivals_docs", "folded_docs"),
 )

@@ -220,17 +220,24 @@ oracle(
     "doc_lines",
 )
 oracle("t05_mine_log_templates", "SELECT cluster_id, created, template FROM ids", "ids")
+def _recursive(name: str) -> None:
+    ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # The k-th sequence of every leaf is folded into the leaf's templates, all leaves at once.
-oracle(
-    "t05_mine_maskable_lines",
-    f"""SELECT 'CLU-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS cluster_id,
-        created, template FROM (
-        SELECT row_number() OVER (ORDER BY t.created) AS n, t.created AS created,
-        array_to_string(t.words, ' ') AS template FROM (
-        SELECT unnest(templates) AS t FROM (SELECT *, max(k) OVER (PARTITION BY leaf) AS last FROM folded) WHERE k = last))""",
-    "folded",
-)
-ORACLES["t05_mine_maskable_lines"] = ORACLES["t05_mine_maskable_lines"].replace("WITH ", "WITH RECURSIVE ", 1)
+for _name, _of in (("t05_mine_maskable_lines", ""), ("t05_mine_document_templates", "_docs")):
+    oracle(
+        _name,
+        f"""SELECT 'CLU-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS cluster_id,
+            created, template FROM (
+            SELECT row_number() OVER (ORDER BY t.created) AS n, t.created AS created,
+            array_to_string(t.words, ' ') AS template FROM (
+            SELECT unnest(templates) AS t FROM (SELECT *, max(k) OVER (PARTITION BY leaf) AS last FROM folded{_of}) WHERE k = last))""",
+        f"folded{_of}",
+    )
+    _recursive(_name)
+oracle("t06_assign_document_lines", "SELECT line_no, created FROM assigned_docs", "assigned_docs")
+_recursive("t06_assign_document_lines")
 oracle(
     "t06_assign_events",
     "SELECT line_no, cluster_id FROM masked_rows m JOIN ids ON ids.template = m.masked",

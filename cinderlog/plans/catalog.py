@@ -494,15 +494,17 @@ def t05_mine_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _document_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All document lines with their masked text."""
+    lines = parse.drop_blank(adapters.document_lines(spark, sf_dir))
+    return lines.withColumn("masked", masks.normalize(F.col("raw")))
+
+
 @query
 def t05_mine_document_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates of all document lines, with real merging. The result depends on the order
-    of the lines, so it is checked against a sequential miner in the tests."""
+    """Templates of all document lines, with real merging."""
     workspace = Workspace(spark)
-    lines = parse.drop_blank(adapters.document_lines(spark, sf_dir))
-    sequences = mining.distinct_sequences(
-        lines.withColumn("masked", masks.normalize(F.col("raw")))
-    )
+    sequences = mining.distinct_sequences(_document_events(spark, sf_dir))
     routed = workspace.table(mining.route(workspace, sequences), "routed")
     versions = mining.mine(workspace, routed)
     return templates.number_templates(mining.latest(versions)).select(
@@ -528,6 +530,18 @@ def t06_assign_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.event_clusters().join(ids, "created").select("line_no", "cluster_id")
 
 
+@query
+def t06_assign_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document line with the template it belongs to at its line, where templates
+    widen and take over texts of others."""
+    workspace = Workspace(spark)
+    events = workspace.table(_document_events(spark, sf_dir).select("line_no", "masked"), "events")
+    routed = workspace.table(mining.route(workspace, mining.distinct_sequences(events)), "routed")
+    versions = mining.mine(workspace, routed)
+    steps = workspace.table(mining.sequence_steps(routed, versions), "steps")
+    return mining.assign_events(events, routed, steps).select("line_no", "created")
+
+
 @query
 def t07_template_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     sequences = mining.distinct_sequences(

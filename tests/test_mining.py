@@ -94,6 +94,57 @@ def test_all_lines_of_the_documents(spark, workspace):
     assert mined(spark, workspace, lines) == sequential(lines)
 
 
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_index_finds_what_comparing_all_templates_finds(monkeypatch, few):
+    monkeypatch.setattr(mining, "FEW", few)
+    rng = random.Random(8)
+    words = ["a", "b", "c", "d", "<*>", "<NUM>"]
+    leaf, plain = mining._Leaf(), []
+    for line in range(600):
+        tokens = [rng.choice(words) + ("" if rng.random() < 0.5 else str(rng.randrange(3))) for _ in range(7)]
+        scores = [sum(t in ("<*>", s) for t, s in zip(own, tokens)) for _, own in plain]
+        expected = (scores.index(max(scores)), max(scores)) if plain else (-1, 0)
+        assert leaf.best(tokens) == expected
+        threshold = rng.choice([0.6, 0.9, 1.0])
+        leaf.absorb(line, tokens, threshold)
+        if plain and expected[1] / 7 >= threshold:
+            own = plain[expected[0]][1]
+            plain[expected[0]][1] = [t if t == s else "<*>" for t, s in zip(own, tokens)]
+        else:
+            plain.append([line, tokens])
+        assert [[c, t] for c, t in zip(leaf.created, leaf.tokens)] == plain
+
+
+@pytest.mark.parametrize("rows_per_walk", [3, 50_000])
+def test_walks_of_wide_leaves_are_split(spark, workspace, rows_per_walk):
+    rng = random.Random(5)
+    pick = lambda: [rng.choice(["a", "b", "<*>"]) for _ in range(4)]
+    texts = [(rng.choice("xyz"), 100 + i, [rng.choice("ab<") for _ in range(4)]) for i in range(80)]
+    versions = [(rng.choice("xy"), i // 2, i, pick()) for i in range(60)]
+    sequences = workspace.table(spark.createDataFrame(texts, "leaf string, first_line bigint, tokens array<string>"), "s")
+    found = mining.covering_versions(
+        sequences, workspace.table(spark.createDataFrame(versions, mining.VERSION_SCHEMA), "v"), rows_per_walk
+    )
+    # the oldest template at every line, whatever the parts passed on
+    def oldest(steps):
+        out, best = {}, None
+        for line in range(61):
+            here = [c for f, c in steps if f == line]
+            best = min([*here, *([] if best is None else [best])], default=None)
+            out[line] = best
+        return out
+
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.first_line, []).append((r.from_line, r.created))
+    for leaf, line, tokens in texts:
+        covering = [
+            (f, c) for own, c, f, t in versions
+            if own == leaf and "<*>" in t and all(a in ("<*>", b) for a, b in zip(t, tokens))
+        ]
+        assert oldest(got.get(line, [])) == oldest(covering)
+
+
 def test_threshold_above_one_is_refused(spark, workspace):
     with pytest.raises(ValueError):
         mining.mine(workspace, None, 1.5)
