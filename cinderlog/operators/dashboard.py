@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.display import count_text, duration_text, half_up, plural
-from ..sources.runs import Run, bucket_rows
+from ..sources.runs import Run, bucket_rows, filled_rows, run_buckets
 from .correlation import EDGE_ORDER
 from .severity import severity_rank
 
@@ -79,14 +79,21 @@ def kpis(run: Run) -> DataFrame:
 
 
 def timeline(run: Run) -> DataFrame:
-    """Events of incident clusters per bucket, one column per severity."""
+    """Events of incident clusters per bucket, one column per severity. Only filled buckets
+    are added up; the others follow from the window."""
     severities = run.incidents.select("cluster_id", F.col("severity").alias("incident_severity"))
-    placed = bucket_rows(run.clusters.join(severities, "cluster_id"), "incident_severity")
-    return (
-        placed.groupBy("bucket_ts")
+    behind = run.clusters.join(severities, "cluster_id")
+    counted = (
+        filled_rows(behind, "incident_severity")
+        .groupBy("bucket_idx")
         .pivot("incident_severity", list(fixed.SEVERITIES))
         .sum("events")
+    )
+    return (
+        run_buckets(behind)
+        .join(counted, "bucket_idx", "left")
         .na.fill(0, list(fixed.SEVERITIES))
+        .select("bucket_ts", *fixed.SEVERITIES)
         .orderBy("bucket_ts")
     )
 
@@ -282,15 +289,21 @@ def severity_shares(run: Run) -> DataFrame:
 
 
 def trends(run: Run) -> DataFrame:
-    """Events of error and of warning clusters per bucket."""
+    """Events of error and of warning clusters per bucket, added up from filled buckets."""
     level, n = F.col("level"), F.col("events")
-    return (
-        bucket_rows(run.clusters, "level")
-        .groupBy("bucket_ts")
+    counted = (
+        filled_rows(run.clusters, "level")
+        .groupBy("bucket_idx")
         .agg(
             F.sum(F.when(level.isin(*fixed.ERROR_LEVELS), n).otherwise(0)).alias("errors"),
             F.sum(F.when(level.isin(*fixed.WARNING_LEVELS), n).otherwise(0)).alias("warnings"),
         )
+    )
+    return (
+        run_buckets(run.clusters)
+        .join(counted, "bucket_idx", "left")
+        .na.fill(0, ["errors", "warnings"])
+        .select("bucket_ts", "errors", "warnings")
         .orderBy("bucket_ts")
     )
 
@@ -308,7 +321,7 @@ def run_summary(run: Run) -> DataFrame:
 
 def peak_buckets(run: Run) -> DataFrame:
     """Buckets of every cluster; those that reach the cluster's maximum are marked."""
-    highest = F.array_max(F.transform("buckets", lambda b: b["count"]))
+    highest = F.coalesce(F.array_max(F.transform("filled", lambda b: b["events"])), F.lit(0))
     rows = bucket_rows(run.clusters.withColumn("highest", highest), "cluster_id", "highest")
     return rows.withColumn(
         "is_peak", (F.col("events") == F.col("highest")) & (F.col("highest") > 0)

@@ -9,7 +9,7 @@ from .. import fixed
 from ..functions.display import decimals
 from ..functions.masks import normalize
 from ..functions.regex import WHITESPACE
-from ..sources.runs import Run, bucket_rows
+from ..sources.runs import Run, bucket_list, bucket_rows
 from .correlation import EDGE_ORDER
 from .severity import factor_rows, severity_rank
 
@@ -190,7 +190,7 @@ def incident_detail(run: Run, incident_id: str) -> DataFrame:
         )
     )
     clusters = (
-        normalized_example(run.clusters)
+        normalized_example(bucket_list(run.clusters.join(wanted.select("cluster_id"), "cluster_id", "left_semi")))
         .join(factors, "cluster_id")
         .select(
             "cluster_id",

@@ -80,58 +80,68 @@ def bucket_ts(index: Column, window: Window) -> Column:
     )
 
 
-def dense_counts(counted: DataFrame, key: str, window: Window) -> DataFrame:
-    """``(key, counts)``: one count per bucket, zero where nothing happened.
+def sparse_counts(counted: DataFrame, key: str, window: Window) -> DataFrame:
+    """``(key, filled, n_buckets)``: the buckets in which something happened, in order, and
+    how many there are in all. Every other bucket counts zero.
 
-    ``counted`` is ``(key, bucket_idx, events)``, any number of rows per bucket. The
-    shuffled rows are the filled buckets only; zeros are added inside the row.
+    ``counted`` is ``(key, bucket_idx, events)``, any number of rows per bucket. A series
+    takes as much room as it has filled buckets, however long the window is.
     """
-    filled = F.array_sort(F.collect_list(F.struct("bucket_idx", "events")))
-
-    def stretch(entry: Column, place: Column) -> Column:
-        """The zeros before a filled bucket, then its count; linear over the whole row."""
-        before = F.coalesce(F.get("_filled", place - 1)["bucket_idx"], F.lit(-1))
-        zeros = F.array_repeat(F.lit(0).cast("bigint"), entry["bucket_idx"] - before - 1)
-        return F.concat(zeros, F.array(entry["events"].cast("bigint")))
-
-    last = F.element_at("_filled", -1)["bucket_idx"]
-    zeros_after = F.array_repeat(F.lit(0).cast("bigint"), (F.col("_n") - 1 - last).cast("int"))
+    entry = F.struct("bucket_idx", F.col("events").cast("bigint").alias("events"))
     return (
         counted.groupBy(key, "bucket_idx")
         .agg(F.sum("events").alias("events"))
+        .filter(F.col("events") != 0)
         .groupBy(key)
-        .agg(filled.alias("_filled"))
-        .withColumn("_n", window.buckets)
-        .select(
-            key, F.concat(F.flatten(F.transform("_filled", stretch)), zeros_after).alias("counts")
-        )
+        .agg(F.array_sort(F.collect_list(entry)).alias("filled"))
+        .withColumn("n_buckets", window.buckets)
     )
 
 
+def dense(filled: Column, n_buckets: Column) -> Column:
+    """One count per bucket, zeros included; for results that show every bucket."""
+
+    def stretch(entry: Column, place: Column) -> Column:
+        """The zeros before a filled bucket, then its count; linear over the whole row."""
+        before = F.coalesce(F.get(filled, place - 1)["bucket_idx"], F.lit(-1))
+        zeros = F.array_repeat(F.lit(0).cast("bigint"), entry["bucket_idx"] - before - 1)
+        return F.concat(zeros, F.array(entry["events"]))
+
+    last = F.coalesce(F.get(filled, F.size(filled) - 1)["bucket_idx"], F.lit(-1))
+    zeros_after = F.array_repeat(F.lit(0).cast("bigint"), (n_buckets - 1 - last).cast("int"))
+    return F.concat(F.flatten(F.transform(filled, stretch)), zeros_after)
+
+
 def bucket_rows(series: DataFrame, key: str, window: Window) -> DataFrame:
-    """Long form of ``counts``: ``(key, bucket_idx, bucket_ts, events)``."""
-    return series.select(key, F.posexplode("counts").alias("bucket_idx", "events")).select(
+    """Long form with every bucket: ``(key, bucket_idx, bucket_ts, events)``."""
+    counts = dense(F.col("filled"), F.col("n_buckets"))
+    return series.select(key, F.posexplode(counts).alias("bucket_idx", "events")).select(
         key, "bucket_idx", bucket_ts(F.col("bucket_idx"), window).alias("bucket_ts"), "events"
     )
 
 
-def _total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, n: total + n)
+def _events_from(filled: Column, start: Column) -> Column:
+    """Events of the buckets from `start` on."""
+    return F.aggregate(
+        filled,
+        F.lit(0).cast("bigint"),
+        lambda total, e: total + F.when(e["bucket_idx"] >= start, e["events"]).otherwise(0),
+    )
 
 
 def growth(series: DataFrame) -> DataFrame:
-    """Adds ``recent_count, baseline_rate, growth_pct`` from ``counts``."""
-    n = F.size("counts")
+    """Adds ``recent_count, baseline_rate, growth_pct`` from ``filled`` and ``n_buckets``."""
+    n, filled = F.col("n_buckets"), F.col("filled")
     tail = recent_span(n)
     recent_rate = F.col("recent_count") / tail
     base = F.col("baseline_rate")
     raw = (recent_rate - base) / (base + fixed.EPSILON) * 100.0
-    body = F.slice(F.col("counts"), F.lit(1), n - tail)
+    body = _events_from(filled, F.lit(0)) - F.col("recent_count")
     return (
-        series.withColumn("recent_count", _total(F.slice(F.col("counts"), n - tail + 1, tail)))
+        series.withColumn("recent_count", _events_from(filled, n - tail))
         .withColumn(
             "baseline_rate",
-            F.when(n > tail, _total(body) / F.greatest(n - tail, F.lit(1))).otherwise(recent_rate),
+            F.when(n > tail, body / F.greatest(n - tail, F.lit(1))).otherwise(recent_rate),
         )
         .withColumn(
             "growth_pct", F.greatest(F.lit(fixed.MIN_GROWTH), F.least(F.lit(fixed.MAX_GROWTH), raw))

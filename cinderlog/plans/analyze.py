@@ -195,7 +195,7 @@ def analyze(
     mined = (
         templates.totals(facts, "created")
         .join(templates.services(facts, "created"), "created", "left")
-        .join(frequency.dense_counts(facts, "created", view), "created")
+        .join(frequency.sparse_counts(facts, "created", view), "created")
         .join(_samples(workspace, events, parted, facts), "created")
         .join(names, "created")
         .withColumn(

@@ -125,7 +125,7 @@ def kind_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("kind", "bucket_idx")
         .agg(F.count("*").alias("events"))
     )
-    return frequency.dense_counts(counted, "kind", view)
+    return frequency.sparse_counts(counted, "kind", view)
 
 
 def kind_scores(spark: SparkSession, sf_dir: str, sensitivity: float = 0.6) -> DataFrame:

@@ -1,16 +1,20 @@
-"""Stored runs: parquet tables partitioned by ``run_id``."""
+"""Stored runs: parquet tables per run, valid once a commit names them."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..operators.frequency import dense
 from ..plans.analyze import Analysis
+from .commits import Commits, Files
 
 RUN_SCHEMA = """
     run_id bigint, source_name string, event_count bigint, parsed_count bigint,
@@ -22,7 +26,8 @@ CLUSTER_SCHEMA = """
     run_id bigint, cluster_id string, created bigint, template string, token_count int,
     level string, count bigint, example string, examples array<string>,
     first_seen timestamp, last_seen timestamp, services map<string,bigint>,
-    primary_service string, buckets array<struct<bucket_ts:timestamp,count:bigint>>,
+    primary_service string, filled array<struct<bucket_idx:int,events:bigint>>,
+    n_buckets int, bucket_start timestamp, bucket_seconds bigint,
     growth_pct double, baseline_rate double, recent_count bigint, anomaly_score double,
     zscore double, is_anomaly boolean, severity string, severity_score double,
     confidence double,
@@ -49,6 +54,9 @@ SCHEMAS = {
     "correlations": CORRELATION_SCHEMA,
     "explanations": EXPLANATION_SCHEMA,
 }
+#: What a commit names: the row of each run, the folder of its tables, and those of its
+#: explanations.
+MANIFEST_SCHEMA = f"{RUN_SCHEMA}, folder string, explained array<string>"
 
 
 @dataclass(frozen=True)
@@ -63,56 +71,131 @@ class Run:
     previous: DataFrame
 
 
+def _bucket_ts(index: Column) -> Column:
+    start = F.unix_micros("bucket_start")
+    return F.timestamp_micros(start + index * F.col("bucket_seconds") * 1_000_000)
+
+
 def bucket_list(clusters: DataFrame) -> DataFrame:
-    """``counts`` with its window as ``buckets``, an array of (bucket_ts, count)."""
+    """Every bucket of a series, empty ones too, as ``buckets``: an array of (bucket_ts, count)."""
     stamped = F.transform(
-        "counts",
-        lambda n, i: F.struct(
-            F.timestamp_micros(
-                F.unix_micros("bucket_start") + i * F.col("bucket_seconds") * 1_000_000
-            ).alias("bucket_ts"),
-            n.alias("count"),
-        ),
+        dense(F.col("filled"), F.col("n_buckets")),
+        lambda n, i: F.struct(_bucket_ts(i).alias("bucket_ts"), n.alias("count")),
     )
     return clusters.withColumn("buckets", stamped)
 
 
 def bucket_rows(clusters: DataFrame, *keys: str) -> DataFrame:
-    """Long form of ``buckets``."""
-    return clusters.select(*keys, F.posexplode("buckets").alias("bucket_idx", "bucket")).select(
-        *keys, "bucket_idx", F.col("bucket.bucket_ts"), F.col("bucket.count").alias("events")
-    )
+    """Every bucket of every series, one row each, empty ones too."""
+    counts = dense(F.col("filled"), F.col("n_buckets"))
+    return clusters.select(
+        *keys, "bucket_start", "bucket_seconds", F.posexplode(counts).alias("bucket_idx", "events")
+    ).select(*keys, "bucket_idx", _bucket_ts(F.col("bucket_idx")).alias("bucket_ts"), "events")
+
+
+def filled_rows(clusters: DataFrame, *keys: str) -> DataFrame:
+    """The buckets in which something happened, one row each."""
+    return clusters.select(*keys, F.inline("filled"))
+
+
+def run_buckets(clusters: DataFrame) -> DataFrame:
+    """``(bucket_idx, bucket_ts)``: the buckets all series of a run share; none without series."""
+    shared = clusters.agg(*[F.max(c).alias(c) for c in ("n_buckets", "bucket_start", "bucket_seconds")])
+    places = F.sequence(F.lit(0), F.col("n_buckets") - 1)
+    return shared.select(
+        F.explode(places).alias("bucket_idx"), "bucket_start", "bucket_seconds"
+    ).select("bucket_idx", _bucket_ts(F.col("bucket_idx")).alias("bucket_ts"))
+
+
+class RunExists(Exception):
+    """The id is taken."""
+
+    def __init__(self, run_id: int):
+        super().__init__(f"[PATH_ALREADY_EXISTS] run {run_id} is stored, or being stored")
 
 
 class RunStore:
-    """Runs under one folder. The run row is written last: a run that can be found is
-    complete. The folder of its clusters is written first and claims the id: a second
-    writer of the same id fails, unless it asks to replace the run."""
+    """Runs under one folder.
+
+    A run's tables are staged in folders of their own; the run exists once a commit's
+    manifest has its row. An id is claimed by a file that can be made only once, so two
+    writers never get the same one; commits are numbered and optimistic, so writers at the same time
+    both get theirs in, one after the other. Runs are read by the paths the manifest
+    names. What no commit names is left behind by failed or replaced writes and never read.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
-
-    def _empty_folders(self) -> None:
-        for name, schema in SCHEMAS.items():
-            empty = self.spark.createDataFrame([], schema)
-            empty.write.mode("append").partitionBy("run_id").parquet(f"{self.path}/{name}")
+        self.files = Files(spark, path)
+        self.commits = Commits(self.files)
 
     @classmethod
     def create(cls, spark: SparkSession, path: str) -> RunStore:
-        store = cls(spark, path)
-        store._empty_folders()
-        return store
+        return cls(spark, path)
+
+    # --- commits
+
+    def _manifest(self, named: str | None) -> DataFrame:
+        if named is None:
+            return self.spark.createDataFrame([], MANIFEST_SCHEMA)
+        return self.spark.read.schema(MANIFEST_SCHEMA).parquet(f"{self.path}/manifests/{named}")
+
+    def manifest(self) -> DataFrame:
+        """One row per run, as of now."""
+        return self._manifest(self.commits.newest()[1])
+
+    def _commit(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Puts a changed manifest in place; if another writer was faster, on top of theirs."""
+        while True:
+            number, named = self.commits.newest()
+            name = uuid.uuid4().hex
+            changed = change(self._manifest(named)).coalesce(1)
+            changed.write.parquet(f"{self.path}/manifests/{name}")
+            if self.commits.add(number + 1, name):
+                return
+
+    def _claim(self, run_id: int | None, replace: bool) -> int:
+        wanted = run_id or self.next_id()
+        while not self.files.publish(f"claims/{wanted}", ""):
+            if run_id is None:
+                wanted += 1
+            elif replace:
+                break
+            else:
+                raise RunExists(run_id)
+        return wanted
+
+    # --- tables
+
+    def _folder(self, name: str, run_id: int, folder: str) -> str:
+        return f"{self.path}/{name}/run_id={run_id}/folder={folder}"
+
+    def _read(self, name: str, found: list[tuple[int, str]]) -> DataFrame:
+        """The tables in the given folders of runs; listed are these folders alone."""
+        if not found:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        paths = [self._folder(name, run_id, folder) for run_id, folder in found]
+        schema = f"{SCHEMAS[name]}, folder string"
+        read = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*paths)
+        return read.drop("folder")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
-
-    def _write(self, name: str, df: DataFrame, run_id: int, mode: str) -> None:
-        columns = [field.name for field in self.table(name).schema if field.name != "run_id"]
-        df.select(*columns).write.mode(mode).parquet(f"{self.path}/{name}/run_id={run_id}")
+        """A table over all runs."""
+        if name == "runs":
+            return self.manifest().drop("folder", "explained")
+        # one row per run
+        runs = self.manifest().select("run_id", "folder", "explained").collect()
+        if name == "explanations":
+            return self._read(name, [(r.run_id, f) for r in runs for f in r.explained])
+        return self._read(name, [(r.run_id, r.folder) for r in runs])
+
+    def _stage(self, name: str, df: DataFrame, run_id: int, folder: str) -> None:
+        columns = [f.name for f in self._read(name, []).schema if f.name != "run_id"]
+        df.select(*columns).write.parquet(self._folder(name, run_id, folder))
 
     def next_id(self) -> int:
-        return (self.table("runs").agg(F.max("run_id")).first()[0] or 0) + 1
+        return (self.manifest().agg(F.max("run_id")).first()[0] or 0) + 1
 
     def save(
         self,
@@ -123,15 +206,16 @@ class RunStore:
         replace: bool = False,
     ) -> int:
         """Stores an analysis, by default under the next free id. An id that is taken is an
-        error unless ``replace`` is set."""
-        run_id = run_id or self.next_id()
-        mode = "overwrite" if replace else "errorifexists"
-        self._write("clusters", bucket_list(analysis.clusters), run_id, mode)
-        self._write("incidents", analysis.incidents, run_id, mode)
-        self._write("correlations", analysis.correlations, run_id, mode)
+        error unless ``replace`` is set; until the new run is whole, the old one stays."""
+        run_id = self._claim(run_id, replace)
+        folder = uuid.uuid4().hex
+        self._stage("clusters", analysis.clusters, run_id, folder)
+        self._stage("incidents", analysis.incidents, run_id, folder)
+        self._stage("correlations", analysis.correlations, run_id, folder)
         clusters = analysis.clusters.agg(F.count("*")).scalar()
         counts = analysis.counts.select(F.struct("*")).scalar()
         run = analysis.window.select(
+            F.lit(run_id).cast("bigint").alias("run_id"),
             F.lit(source_name).alias("source_name"),
             counts["event_count"].alias("event_count"),
             counts["parsed_count"].alias("parsed_count"),
@@ -145,34 +229,46 @@ class RunStore:
             .alias("bucket_seconds"),
             F.lit(analysis.sensitivity).alias("sensitivity"),
             F.lit(created_at).cast("timestamp").alias("created_at"),
+            F.lit(folder).alias("folder"),
+            F.array().cast("array<string>").alias("explained"),
         )
-        self._write("runs", run, run_id, mode)
+        # one row
+        row = self.spark.createDataFrame(run.collect(), MANIFEST_SCHEMA)
+        self._commit(lambda runs: runs.filter(F.col("run_id") != run_id).unionByName(row))
         return run_id
 
     def save_explanations(self, run_id: int, explanations: DataFrame) -> None:
         """Adds explanations of some incidents; those saved later count."""
+        folder = uuid.uuid4().hex
         stamped = explanations.withColumn("saved", F.unix_micros(F.current_timestamp()))
-        self._write("explanations", stamped, run_id, "append")
+        self._stage("explanations", stamped, run_id, folder)
+        added = F.when(F.col("run_id") == run_id, F.array_append("explained", F.lit(folder)))
+        self._commit(lambda runs: runs.withColumn("explained", added.otherwise(F.col("explained"))))
 
     def latest_id(self) -> int | None:
         newest = latest_run(self.table("runs")).select("run_id").first()
         return newest[0] if newest else None
 
     def load(self, run_id: int | None = None) -> Run:
-        """One run, the latest by default. The id is a literal filter on the partition
-        column, so only that run's folders are read."""
-        wanted = run_id if run_id is not None else (self.latest_id() or 0)
-
-        def part(name: str) -> DataFrame:
-            return self.table(name).filter(F.col("run_id") == wanted)
-
+        """One run, the latest by default. Only the folders of that run are read."""
+        runs = self.manifest()
+        if run_id is None:
+            newest_row = latest_run(runs).select("run_id").first()
+            run_id = newest_row[0] if newest_row else 0
+        row = runs.filter(F.col("run_id") == run_id).first()
+        folders = [(run_id, row.folder)] if row else []
+
+        def part(name: str, found: list[tuple[int, str]]) -> DataFrame:
+            return self._read(name, found).filter(F.col("run_id") == run_id)
+
+        runs = runs.drop("folder", "explained")
         return Run(
-            part("runs"),
-            part("clusters"),
-            part("incidents"),
-            part("correlations"),
-            newest(part("explanations")),
-            previous_run(self.table("runs"), wanted),
+            runs.filter(F.col("run_id") == run_id),
+            part("clusters", folders),
+            part("incidents", folders),
+            part("correlations", folders),
+            newest(part("explanations", [(run_id, f) for f in row.explained] if row else [])),
+            previous_run(runs, run_id),
         )
 
 

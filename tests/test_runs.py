@@ -1,4 +1,5 @@
 import csv
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -7,7 +8,8 @@ from pyspark.sql import functions as F
 from cinderlog.operators import dashboard, explain, explorer
 from cinderlog.plans.analyze import analyze
 from cinderlog.session import Workspace, shared_folder
-from cinderlog.sources.runs import RunStore
+from cinderlog.sources.commits import Commits, Files
+from cinderlog.sources.runs import RunExists, RunStore
 
 
 def analysed(spark, rows):
@@ -49,6 +51,85 @@ def test_saving_again_replaces(spark, store):
     assert store.table("runs").count() == 2
 
 
+def test_two_writers_at_once_get_two_runs(spark):
+    runs = RunStore.create(spark, f"{Workspace(spark).root}/runs")
+    done = analysed(spark, [(i, f"ERROR svc-a disk {i}% full") for i in range(1, 4)])
+    with ThreadPoolExecutor(4) as pool:
+        saved = [pool.submit(RunStore(spark, runs.path).save, done, f"w{k}", "2024-03-01 00:00:00") for k in range(4)]
+        ids = [f.result() for f in saved]
+    assert sorted(ids) == [1, 2, 3, 4]
+    found = {r.run_id: r.source_name for r in runs.table("runs").collect()}
+    assert found == {i: f"w{k}" for k, i in enumerate(ids)}
+    assert runs.table("clusters").groupBy("run_id").count().count() == 4
+    # all of them found the commit of another in their place but one
+    assert runs.commits.newest()[0] == 4
+
+
+def test_two_writers_of_one_id_get_one_run_and_one_error(spark):
+    runs = RunStore.create(spark, f"{Workspace(spark).root}/runs")
+    done = analysed(spark, [(i, f"ERROR svc-a disk {i}% full") for i in range(1, 4)])
+
+    def save(name):
+        try:
+            return RunStore(spark, runs.path).save(done, name, "2024-03-01 00:00:00", run_id=7)
+        except RunExists:
+            return None
+
+    with ThreadPoolExecutor(2) as pool:
+        ids = list(pool.map(save, ["a", "b"]))
+    assert sorted(ids, key=str) == [7, None]
+    assert runs.table("runs").count() == 1
+
+
+def test_readers_never_see_half_a_run(spark, monkeypatch):
+    runs = RunStore.create(spark, f"{Workspace(spark).root}/runs")
+    done = analysed(spark, [(i, f"ERROR svc-a disk {i}% full") for i in range(1, 4)])
+    runs.save(done, "whole", "2024-03-01 00:00:00")
+    before = runs.load().clusters.count()
+    dying = RunStore(spark, runs.path)
+    for name in ("correlations", "runs"):
+        stage = RunStore._stage
+
+        def fail(self, table, *rest, at=name, stage=stage):
+            if table == at:
+                raise OSError("lost")
+            stage(self, table, *rest)
+
+        if name == "runs":
+            monkeypatch.setattr(dying, "_commit", lambda change: (_ for _ in ()).throw(OSError("lost")))
+        else:
+            monkeypatch.setattr(RunStore, "_stage", fail)
+        for replace in ({}, {"run_id": 1, "replace": True}):
+            with pytest.raises(OSError):
+                dying.save(done, "half", "2024-03-02 00:00:00", **replace)
+        monkeypatch.undo()
+        dying = RunStore(spark, runs.path)
+    assert [r.source_name for r in runs.table("runs").collect()] == ["whole"]
+    assert runs.load().clusters.count() == before and runs.table("clusters").count() == before
+    # ids of lost writers stay unused
+    assert runs.save(done, "next", "2024-03-03 00:00:00") > 1
+
+
+def test_a_lost_hint_costs_time_only(spark):
+    files = Files(spark, f"{Workspace(spark).root}/commits-only")
+    commits = Commits(files)
+    assert commits.newest() == (0, None)
+    assert commits.add(1, "a") and commits.add(2, "b") and not commits.add(2, "c")
+    for told in ("", "x", "1", "9"):
+        files.write("commits/hint", told)
+        assert commits.newest() == (2, "b")
+
+
+def test_files_of_another_file_system_are_never_overwritten(spark):
+    """The way of all systems but the local disk: a rename that refuses to overwrite."""
+    files = Files(spark, f"{Workspace(spark).root}/renamed")
+    files.write("a/staged-1", "one")
+    files.write("a/staged-2", "two")
+    assert files._rename("a/staged-1", "a/name")
+    assert not files._rename("a/staged-2", "a/name")
+    assert files.read("a/name") == "one" and files.read("a/staged-2") is None
+
+
 def test_export(store, tmp_path):
     explorer.export_csv(store.load(2), str(tmp_path / "out"))
     rows = []

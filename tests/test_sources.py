@@ -1,12 +1,15 @@
 import os
 import random
+import statistics
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from cinderlog.operators.frequency import Window, dense_counts
+from cinderlog.operators import anomaly
+from cinderlog.operators.frequency import Window, dense, growth, sparse_counts
 from cinderlog.operators.numbering import number_rows, number_sorted, prefix_sum
 from cinderlog.sources.lines import read_text, table_lines
 
@@ -96,11 +99,34 @@ def test_numbers_of_sparse_keys_and_rolled_files(spark, workspace):
 def test_long_series_with_few_filled_buckets(spark):
     view = Window(F.lit("1970-01-01").cast("timestamp"), F.lit(86400), F.lit(60000), F.lit(1))
     rows = spark.createDataFrame([("a", 0, 1), ("a", 59990, 2), ("a", 59990, 3), ("b", 7, 4)], "k string, bucket_idx int, events bigint")
-    found = {r.k: r.counts for r in dense_counts(rows, "k", view).collect()}
+    series = sparse_counts(rows, "k", view)
+    assert {r.k: [tuple(e) for e in r.filled] for r in series.collect()} == {"a": [(0, 1), (59990, 5)], "b": [(7, 4)]}
+    found = {r.k: r.counts for r in series.select("k", dense(F.col("filled"), F.col("n_buckets")).alias("counts")).collect()}
     assert {k: (len(v), sum(v)) for k, v in found.items()} == {"a": (60000, 6), "b": (60000, 4)}
     assert found["a"][0] == 1 and found["a"][59990] == 5 and found["b"][7] == 4
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 13])
+def test_sparse_statistics_equal_those_of_the_whole_series(spark, n):
+    rng = random.Random(n)
+    series = {f"s{i}": [rng.choice([0, 0, 0, 1, 2, 2, 7, 40]) for _ in range(n)] for i in range(60)}
+    series = {k: v for k, v in series.items() if any(v)} | {"full": [3] * n, "one": [0] * (n - 1) + [9]}
+    rows = [(k, i, c) for k, v in series.items() for i, c in enumerate(v) if c or rng.random() < 0.3]
+    view = Window(F.lit("1970-01-01").cast("timestamp"), F.lit(60), F.lit(n), F.lit(1))
+    df = spark.createDataFrame(rows, "k string, bucket_idx int, events bigint")
+    scored = anomaly.score(growth(sparse_counts(df, "k", view)))
+    for r in scored.collect():
+        counts, tail = series[r.k], max(1, n // 6)
+        center = statistics.median(counts)
+        mad = statistics.median(abs(c - center) for c in counts)
+        recent = sum(counts[n - tail :])
+        base = sum(counts[: n - tail]) / (n - tail) if n > tail else recent / tail
+        assert (r.center, r.peak_count, r.peak_idx) == (center, max(counts), counts.index(max(counts)))
+        assert r.scale == pytest.approx(max(1.4826 * mad, max(center, 1) ** 0.5, 1))
+        assert r.recent_count == recent and r.baseline_rate == pytest.approx(base)
+        assert r.peak_is_recent == (r.peak_idx >= n - tail)
+
+
 def test_workers_get_the_package(tmp_path):
     """Mining runs from another folder, without the package on the workers' path."""
     code = (
