@@ -46,9 +46,12 @@ oracle(
 )
 oracle(
     "s06_run_sink",
-    """SELECT 'runs' AS stored, 1 AS rows UNION ALL SELECT 'clusters', count(*) FROM clu
-       UNION ALL SELECT 'incidents', count(*) FROM inc UNION ALL SELECT 'correlations', count(*) FROM edge""",
-    "clu", "inc", "edge",
+    f"""SELECT 'runs' AS stored, 1 AS rows, CAST(n AS DOUBLE) AS total FROM row_count
+       UNION ALL SELECT 'clusters', count(*), coalesce(sum(count), 0.0) FROM clu
+       UNION ALL SELECT 'clusters by bucket', count(*), coalesce(sum(c), 0.0) FROM series WHERE c > 0
+       UNION ALL SELECT 'incidents', count(*), {r6('coalesce(sum(confidence), 0.0)')} FROM inc
+       UNION ALL SELECT 'correlations', count(*), {r6('coalesce(sum(lag_seconds), 0.0)')} FROM edge""",
+    "row_count", "clu", "series", "inc", "edge",
 )
 oracle(
     "s07_run_scan",
@@ -507,19 +510,6 @@ oracle(
        s AS window_start, e AS window_end, TIMESTAMP '2024-02-02 00:00:00' AS created_at FROM row_count r, win""",
     "row_count", "clu", "inc", "win",
 )
-oracle(
-    "k14_whole_dashboard",
-    """SELECT * FROM (VALUES ('dashboard', 'run', 1), ('dashboard', 'kpis', 5), ('dashboard', 'health', 1),
-       ('dashboard', 'severity_distribution', 4), ('dashboard', 'funnel', 1), ('analytics', 'run', 1)) t(page, widget, rows)
-       UNION ALL SELECT p, 'timeline', CASE WHEN (SELECT count(*) FROM inc) > 0 THEN n ELSE 0 END
-       FROM win, (VALUES ('dashboard'), ('analytics')) q(p)
-       UNION ALL SELECT 'dashboard', 'service_health', count(*) FROM health
-       UNION ALL SELECT 'dashboard', 'top_clusters', least(5, count(*)) FROM clu
-       UNION ALL SELECT 'dashboard', 'insights', count(*) FROM insight
-       UNION ALL SELECT 'analytics', 'trends', n FROM win
-       UNION ALL SELECT 'analytics', 'cluster_frequency', least(8, count(*)) FROM clu""",
-    "inc", "win", "health", "clu", "insight",
-)
 oracle(
     "k15_severity_shares",
     f"""SELECT *, CAST(floor(incidents / greatest((SELECT count(*) FROM inc), 1) * 100 + 0.5) AS BIGINT) AS percent
@@ -693,3 +683,35 @@ oracle(
     "inc",
 )
 oracle("e02_analyze_ndjson", "SELECT incident_id, cluster_id, severity, status, count FROM inc", "inc")
+
+# Every widget of the two pages has a statement of its own above.
+_SHOWN = {
+    "run": ("k13_run_summary", "event_count + parsed_count + unparsed_count + cluster_count + incident_count", "source_name"),
+    "kpis": ("k01_kpis", "0", "key label value hint"),
+    "timeline": ("k04_timeline", '"Critical" + "High" + "Medium" + "Low"', ""),
+    "health": ("k06_health_score", "health_score", "health_summary"),
+    "service_health": ("k05_service_health", "incidents", "service status"),
+    "top_clusters": ("k07_top_clusters", "count", "cluster_id incident_id title service severity"),
+    "severity_distribution": ("k10_severity_distribution", "incidents", "severity"),
+    "insights": ("k09_insights", "0", "kind title detail incident_id"),
+    "funnel": ("k08_funnel", "events + parsed + unparsed + clusters + anomalies + incidents + correlations", ""),
+    "trends": ("k11_trends", "errors + warnings", ""),
+    "cluster_frequency": ("k12_cluster_frequency", "count", "cluster_id"),
+}
+_PAGES = {
+    "dashboard": "run kpis timeline health service_health top_clusters severity_distribution insights funnel",
+    "analytics": "run trends cluster_frequency timeline",
+}
+
+
+def _shown(page: str, widget: str) -> str:
+    name, numbers, texts = _SHOWN[widget]
+    letters = " + ".join(["0", *[f"coalesce(length({t}), 0)" for t in texts.split()]])
+    return f"""SELECT '{page}' AS page, '{widget}' AS widget, count(*) AS rows,
+        CAST(coalesce(sum({numbers}), 0) AS BIGINT) AS numbers, CAST(coalesce(sum({letters}), 0) AS BIGINT) AS letters
+        FROM ({ORACLES[name]})"""
+
+
+ORACLES["k14_whole_dashboard"] = " UNION ALL ".join(
+    _shown(page, widget) for page, widgets in _PAGES.items() for widget in widgets.split()
+)

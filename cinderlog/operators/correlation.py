@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
+from .intervals import interval_join
 
 _MICROS = 1_000_000
 
@@ -29,10 +30,6 @@ def _side(incidents: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def _slot(micros: Column, seconds: int) -> Column:
-    return F.floor(micros / (seconds * _MICROS))
-
-
 def whole_seconds(seconds: Column) -> Column:
     """Seconds without decimals, halves to even."""
     return F.bround(seconds, 0).cast("bigint").cast("string")
@@ -42,26 +39,19 @@ def dependency_edges(incidents: DataFrame, dependencies: DataFrame) -> DataFrame
     """Edges from an incident to those of dependent services that started within the
     allowed lag of it.
 
-    The time condition is cut into slots as wide as the allowed interval: a downstream
-    incident looks into the two slots its interval touches, so the join is on equal
-    service and slot and pairs far apart in time never meet.
     """
     lead, lag = fixed.LEAD_TOLERANCE_SECONDS, fixed.MAX_LAG_SECONDS
-    width = lead + lag
-    earliest = F.col("downstream_us") - lag * _MICROS
-    latest = F.col("downstream_us") + lead * _MICROS
-    down = (
-        _side(incidents, "downstream")
-        .join(dependencies, "downstream_service")
-        .withColumn("slot", F.explode(F.sequence(_slot(earliest, width), _slot(latest, width))))
-    )
-    up = _side(incidents, "upstream").withColumn("slot", _slot(F.col("upstream_us"), width))
+    needs = dependencies.withColumnRenamed("upstream_service", "needed_service")
+    down = _side(incidents, "downstream").join(needs, "downstream_service")
+    up = _side(incidents, "upstream")
+    pairs = interval_join(
+        down, up, ("downstream_us", "upstream_us"), -lag * _MICROS, lead * _MICROS,
+        on=("needed_service", "upstream_service"),
+    )
     lag_seconds = (F.col("downstream_us") - F.col("upstream_us")) / _MICROS
     shown = F.greatest(F.col("lag_seconds"), F.lit(0.0))
     return (
-        down.join(up, ["upstream_service", "slot"])
-        .filter(F.col("upstream_id") != F.col("downstream_id"))
-        .filter(F.col("upstream_us").between(earliest, latest))
+        pairs.filter(F.col("upstream_id") != F.col("downstream_id"))
         .withColumn("lag_seconds", lag_seconds)
         .select(
             "upstream_id",
@@ -84,35 +74,18 @@ def temporal_edges(incidents: DataFrame, linked: DataFrame) -> DataFrame:
     """Edges between severe incidents of different services that started together and are
     not linked by a dependency already.
 
-    The services seen per time slot are paired first, so incidents of one service in one
-    slot, however many, are never paired with each other.
+    Rows of one service are never paired with each other, however many there are.
     """
-    width = fixed.TEMPORAL_WINDOW_SECONDS
+    width = fixed.TEMPORAL_WINDOW_SECONDS * _MICROS
     severe = incidents.filter(F.col("severity").isin("Critical", "High"))
-    first = _side(severe, "a").withColumn("a_slot", _slot(F.col("a_us"), width))
-    second = _side(severe, "b").withColumn("b_slot", _slot(F.col("b_us"), width))
-    seen_a = first.select("a_service", "a_slot").distinct()
-    seen_b = second.select("b_service", "b_slot").distinct()
-    near = seen_a.withColumn(
-        "b_slot", F.explode(F.sequence(F.col("a_slot") - 1, F.col("a_slot") + 1))
-    ).join(seen_b, "b_slot")
-    services = near.filter(~F.col("a_service").eqNullSafe(F.col("b_service")))
     pairs = (
-        services.alias("s")
-        .join(
-            first.alias("a"),
-            F.col("s.a_service").eqNullSafe(F.col("a.a_service"))
-            & (F.col("s.a_slot") == F.col("a.a_slot")),
-        )
-        .join(
-            second.alias("b"),
-            F.col("s.b_service").eqNullSafe(F.col("b.b_service"))
-            & (F.col("s.b_slot") == F.col("b.b_slot")),
+        interval_join(
+            _side(severe, "a"), _side(severe, "b"), ("a_us", "b_us"), -width, width,
+            apart=("a_service", "b_service"),
         )
         .filter(F.col("a_rank") < F.col("b_rank"))
-        .filter(F.abs(F.col("a_us") - F.col("b_us")) <= width * _MICROS)
         .select("a_id", "a_rank", "a_us", "b_id", "b_rank", "b_us")
-    )
+    )
     forth = linked.select(F.col("upstream_id").alias("a_id"), F.col("downstream_id").alias("b_id"))
     back = linked.select(F.col("downstream_id").alias("a_id"), F.col("upstream_id").alias("b_id"))
     fresh = pairs.join(forth.unionByName(back), ["a_id", "b_id"], "left_anti")

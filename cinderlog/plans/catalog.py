@@ -9,7 +9,7 @@ session and folder: run 1 without bursts, run 2 with them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,7 +34,7 @@ from ..operators import (
 )
 from ..session import Workspace, configure
 from ..sources.lines import read_text
-from ..sources.runs import Run, RunStore, bucket_rows, run_history, latest_run
+from ..sources.runs import Run, RunStore, bucket_rows, filled_rows, run_history, latest_run
 from . import adapters
 from .analyze import Analysis, analyze
 
@@ -182,16 +182,21 @@ def s06_run_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = RunStore.create(spark, f"{Workspace(spark).root}/runs")
     run_id = runs.save(analysis(spark, sf_dir), "sink", "2024-02-03 00:00:00")
     run = runs.load(run_id)
-    rows = [
-        table.agg(F.lit(name).alias("stored"), F.count("*").alias("rows"))
-        for name, table in (
-            ("runs", run.run),
-            ("clusters", run.clusters),
-            ("incidents", run.incidents),
-            ("correlations", run.correlations),
+    stored = [
+        table.agg(
+            F.lit(name).alias("stored"),
+            F.count("*").alias("rows"),
+            F.coalesce(F.sum(number).cast("double"), F.lit(0.0)).alias("total"),
+        )
+        for name, table, number in (
+            ("runs", run.run, "event_count"),
+            ("clusters", run.clusters, "count"),
+            ("clusters by bucket", filled_rows(run.clusters), "events"),
+            ("incidents", run.incidents, "confidence"),
+            ("correlations", run.correlations, "lag_seconds"),
         )
     ]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    return reduce(DataFrame.unionByName, stored)
 
 
 @query
@@ -853,18 +858,28 @@ def k03_mean_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def k14_whole_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts of everything on the two pages."""
+    """What everything on the two pages shows: rows, the sum of all whole numbers but places
+    and ids, and the letters of all texts."""
     run = latest(spark, sf_dir)
     pages = {"dashboard": dashboard.dashboard(run), "analytics": dashboard.analytics(run)}
-    counts = [
-        table.agg(F.lit(page).alias("page"), F.lit(name).alias("widget"), F.count("*").alias("rows"))
+
+    def added(table: DataFrame, kind: str, value) -> Column:
+        columns = [c for c, t in table.dtypes if t == kind and c != "run_id"]
+        every = reduce(Column.__add__, [F.coalesce(value(F.col(c)), F.lit(0)) for c in columns], F.lit(0))
+        return F.coalesce(F.sum(every), F.lit(0)).cast("bigint")
+
+    shown = [
+        table.agg(
+            F.lit(page).alias("page"),
+            F.lit(name).alias("widget"),
+            F.count("*").alias("rows"),
+            added(table, "bigint", lambda c: c).alias("numbers"),
+            added(table, "string", F.length).alias("letters"),
+        )
         for page, widgets in pages.items()
         for name, table in widgets.items()
     ]
-    every = counts[0]
-    for one in counts[1:]:
-        every = every.unionByName(one)
-    return every
+    return reduce(DataFrame.unionByName, shown)
 
 
 @query

@@ -1,8 +1,12 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from cinderlog import fixed
 from cinderlog.operators import correlation
+from cinderlog.operators.intervals import interval_join
 
 SCHEMA = (
     "incident_id string, rank bigint, service string, severity string, first_seen timestamp"
@@ -60,6 +64,40 @@ def test_equals_brute_force(spark):
     assert {r.incident_id: r.correlated_ids for r in linked} == links
 
 
+@pytest.mark.parametrize("rows_a, rows_b", [(1, 1), (3, 7), (1000, 2000)])
+def test_interval_join_equals_brute_force(spark, rows_a, rows_b):
+    rng = random.Random(6)
+    pick = lambda: (rng.choice([None, 0, 5, 9, 10, 11, 100, -40, rng.randrange(-300, 300)]), rng.choice("xyz") if rng.random() < 0.9 else None)
+    left = [(i, *pick()) for i in range(60)] + [(100 + i, 50, "x") for i in range(20)]
+    right = [(i, *pick()) for i in range(60)] + [(100 + i, 45, "x") for i in range(20)]
+    a = spark.createDataFrame(left, "a int, a_at bigint, a_k string")
+    b = spark.createDataFrame(right, "b int, b_at bigint, b_k string")
+    for low, high in ((-7, 10), (0, 0), (3, 40)):
+        near = [(l, r) for l in left for r in right if None not in (l[1], r[1]) and low <= r[1] - l[1] <= high]
+        sizes = {"left_rows": rows_a, "right_rows": rows_b}
+        found = lambda **k: sorted((r.a, r.b) for r in interval_join(a, b, ("a_at", "b_at"), low, high, **k, **sizes).collect())
+        assert found() == sorted((l[0], r[0]) for l, r in near)
+        assert found(on=("a_k", "b_k")) == sorted((l[0], r[0]) for l, r in near if l[2] and l[2] == r[2])
+        assert found(apart=("a_k", "b_k")) == sorted((l[0], r[0]) for l, r in near if l[2] != r[2])
+
+
+def test_a_storm_spreads_over_tasks(spark):
+    """Three thousand rows within three minutes."""
+    rows = [(i, i % 180, f"s{i % 5}") for i in range(3000)]
+    a = spark.createDataFrame(rows, "a int, a_at bigint, a_k string")
+    b = spark.createDataFrame(rows, "b int, b_at bigint, b_k string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        pairs = interval_join(a, b, ("a_at", "b_at"), -180, 180, apart=("a_k", "b_k"), left_rows=300, right_rows=300)
+        per_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(per_task) == 3000 * 2400
+    assert len(per_task) > 30 and max(per_task) < 0.1 * sum(per_task)
+
+
 def test_details(spark):
     rows = [
         ("INC-2", 1, "payments-api", "Critical", START),
