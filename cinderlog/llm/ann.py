@@ -196,6 +196,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
+def _within_reach(scores: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places of the scores that could be among the k best, each being off by `slack` at most."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, -k)[-k] - slack)
+
+
 def _scored(forest: Forest, asked: DataFrame, k: int, everything: bool) -> DataFrame:
     """(q, query_id, rank, vec_id, score, depth): the k best candidates of each query.
 
@@ -212,6 +219,9 @@ def _scored(forest: Forest, asked: DataFrame, k: int, everything: bool) -> DataF
             vectors = _matrix(left["vector"], "<f8", size)
             ids = np.array(left["vec_id"].to_pylist())
             asks, points = _matrix(right["strings"], "<u4", trees), _matrix(right["vector"], "<f8", size)
+            # twice the rounding error of either way to sum up a product
+            longest = np.sqrt((vectors * vectors).sum(1).max())
+            slack = 4 * (size + 1) * np.finfo(np.float64).eps * longest * np.sqrt((points * points).sum(1))
             if not everything:
                 order = np.argsort(strings, 0, kind="stable")
                 ordered = np.take_along_axis(strings, order, 0)
@@ -232,7 +242,10 @@ def _scored(forest: Forest, asked: DataFrame, k: int, everything: bool) -> DataF
                 near = near[ids[near] != own]
                 if not len(near):
                     continue
-                scores = vectors[near] @ points[n]
+                # the product's last bits depend on a row's place: what could be among the best
+                # is scored again, term by term in order, so that equal vectors tie
+                near = near[_within_reach(vectors[near] @ points[n], k, slack[n])]
+                scores = np.cumsum(vectors[near] * points[n], axis=1)[:, -1]
                 top = _best(scores, ids[near], k)
                 chosen = near[top]
                 out[0] += [q] * len(top)
