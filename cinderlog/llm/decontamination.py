@@ -36,10 +36,6 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, BETWEEN), "")
 
 
-def folded_words(text: str) -> Column:
-    return _split(F.lower(F.coalesce(F.col(text), F.lit(""))))
-
-
 def exact_words(text: str) -> Column:
     """The words, A-Z lower-cased and nothing else."""
     return _split(
@@ -111,7 +107,6 @@ def contamination(
     items = work.table(
         benchmark.select(
             F.col(item_id_col).cast("string").alias("item_id"),
-            folded_words(item_text_col).alias("folded"),
             exact_words(item_text_col).alias("words"),
         )
         .where(F.size("words") > 0)
@@ -124,7 +119,7 @@ def contamination(
     windows = None
     for n in widths:
         some = items.where(F.col("width") == n)
-        mark = some.select(F.explode(window_marks(F.col("folded"), n, span, k)).alias("mark"))
+        mark = some.select(F.explode(window_marks(F.col("words"), n, span, k)).alias("mark"))
         window = some.select(
             "item_id",
             F.explode(
@@ -146,7 +141,7 @@ def contamination(
         return rows.select(
             "doc_id",
             "row_key",
-            F.size(folded_words("text")).cast("long").alias("n_words"),
+            F.size(exact_words("text")).cast("long").alias("n_words"),
             F.lit(0).cast("long").alias("n_hit"),
             F.array().cast("array<string>").alias("item_ids"),
             F.lit(0).cast("long").alias("n_items"),
@@ -160,7 +155,7 @@ def contamination(
             "doc_id",
             "row_key",
             let(
-                folded_words("text"),
+                exact_words("text"),
                 lambda w: F.struct(
                     F.size(w).cast("long").alias("n_words"),
                     _all_marks(w, widths, span, k).alias("marks"),
@@ -180,9 +175,9 @@ def contamination(
     # the windows of documents with hits whose own fingerprint was hit, word by word
     def extended(n: int) -> Column:
         at = let(
-            window_marks(F.col("folded"), n, span, k),
+            window_marks(F.col("words"), n, span, k),
             lambda m: F.filter(
-                _starts(F.size(F.col("folded")), n),
+                _starts(F.size(F.col("words")), n),
                 lambda i: F.array_contains(F.col("hits"), F.get(m, i)),
             ),
         )
@@ -198,7 +193,7 @@ def contamination(
     held = (
         join_on(rows, hits, key)
         .dropDuplicates(key)
-        .select(*key, "hits", folded_words("text").alias("folded"), exact_words("text").alias("words"))
+        .select(*key, "hits", exact_words("text").alias("words"))
     )
     found = (
         held.select(*key, F.explode(F.concat(*[extended(n) for n in widths])).alias("w"))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderlog.llm.common import Scratch, clean_bytes, in_slices, table
 from cinderlog.llm.components import components
@@ -108,6 +108,13 @@ def signature(hashes: np.ndarray, bins: int, deputies: np.ndarray) -> np.ndarray
     return out
 
 
+def set_key(hashes: np.ndarray) -> int:
+    """Identifies a set of hashes."""
+    with np.errstate(over="ignore"):
+        mixed = _mix(np.bitwise_xor.reduce(_mix(hashes)) + np.uint64(len(hashes)))
+    return int(mixed.astype(np.int64))
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands, low): one row per document.
 
@@ -126,7 +133,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
                 keys.append(None), bucket.append(None), low.append(None)
                 continue
             with np.errstate(over="ignore"):
-                keys.append(int(_mix(np.bitwise_xor.reduce(_mix(found)) + np.uint64(len(found))).astype(np.int64)))
+                keys.append(set_key(found))
                 signed = signature(found, bins, deputies)
                 key = np.arange(bands, dtype=np.uint64)
                 for row in signed.reshape(bands, rows).T:
@@ -152,12 +159,17 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
 
 
 def _sets(df: DataFrame, text_col: str, size: int) -> DataFrame:
-    """(set_key, hashes): the full sets of texts, as sorted 64-bit numbers."""
+    """(set_key, hashes): the full sets of texts, as sorted 64-bit numbers; only of texts that
+    have the set named, as rows of one id can hold different texts."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
+        keys, sets = [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = shingle_set(text, size)
+            if len(found) and set_key(found) == key:
+                keys.append(key), sets.append(found.tobytes())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sets, pa.binary())], ["set_key", "hashes"]
+            [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["set_key", "hashes"]
         )
 
     return df.select("set_key", text_col).mapInArrow(in_slices(work), "set_key long, hashes binary")

@@ -8,6 +8,7 @@ import pytest
 
 from cinderlog.llm.common import Scratch
 from cinderlog.llm.components import components
+from cinderlog.llm.decontamination import contamination
 from cinderlog.llm.line_dedup import dedup_lines, line_classes, within
 from cinderlog.llm.minhash import near_duplicates, shingle_set, signature, _deputies
 
@@ -201,3 +202,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df, Scratch(spark, "t")).collect()}
     assert got == {x: c for x, c in up.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(df.limit(0), Scratch(spark, "t")).collect() == []
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    words = [[f"{letter}{i}" for i in range(40)] for letter in "ab"]
+    a, b = (" ".join(w) for w in words)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates(df, shingle_words=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+def test_benchmark_words_whose_lower_case_depends_on_what_follows(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve ΟΔΟΣ beta gamma"
+    rows = [(1, "one two three four five six seven eight nine ten eleven twelve ΟΔΟΣ.alpha"), (2, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in contamination(docs, bench).collect()}
+    assert got == {1: (14, 13, ["i"]), 2: (2, 0, [])}
