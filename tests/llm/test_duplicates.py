@@ -220,3 +220,22 @@ def test_benchmark_words_whose_lower_case_depends_on_what_follows(spark):
     bench = spark.createDataFrame([("i", item)], "item_id string, text string")
     got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in contamination(docs, bench).collect()}
     assert got == {1: (14, 13, ["i"]), 2: (2, 0, [])}
+
+
+@pytest.mark.parametrize("hot_lines, block_lines", [(1, 1), (2, 5), (3, 1000), (10_000, 10)])
+def test_lines_with_common_segments_are_counted_in_blocks(spark, hot_lines, block_lines):
+    """A group of lines that differ in a number, one of edited copies, and others."""
+    draw = random.Random(9)
+    texts = [f"the same words in every line but for number {i:02d} of them" for i in range(40)]
+    base = "another line with many copies that were edited somewhere"
+    texts += [edited(draw, base, draw.randint(0, 3)) for _ in range(40)]
+    texts += [edited(draw, "".join(draw.choice("abc ") for _ in range(33)), 0) for _ in range(20)]
+    rows = [(i, x) for i, x in enumerate(draw.sample(texts, len(texts)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_classes(df, threshold=2, least_chars=20, hot_lines=hot_lines, block_lines=block_lines).collect()
+    firsts = {}
+    for i, x in rows:
+        firsts.setdefault(x.strip(), i)
+    near = {i: sorted(j for y, j in firsts.items() if j != i and edits(x, y) <= 2) for x, i in firsts.items()}
+    expected = {i: (len(n), n[0] if n and n[0] < i else None) for i, n in near.items()}
+    assert {r.doc_id: (r.n_links, r.dup_doc_id) for r in got} == expected
