@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,15 +23,27 @@ class Scratch:
     Results are lazy and read these tables, so only who has written a result may `drop` them.
     """
 
-    #: Of all instances, in order.
-    roots: list[str] = []
+    _noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._written = 0
-        Scratch.roots.append(self.root)
+        noted = Scratch._noted.get()
+        if noted is not None:
+            noted.append(self.root)
+
+    @classmethod
+    @contextmanager
+    def noting(cls) -> Iterator[list[str]]:
+        """The roots made inside, by this thread alone."""
+        roots: list[str] = []
+        before = cls._noted.set(roots)
+        try:
+            yield roots
+        finally:
+            cls._noted.reset(before)
 
     @classmethod
     def drop(cls, spark: SparkSession, roots: list[str]) -> None:
@@ -53,6 +67,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has a column so named."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_slices(
     work: Callable[[pa.RecordBatch], pa.RecordBatch],
     rows: int = SLICE,

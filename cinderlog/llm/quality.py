@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from cinderlog.llm import toxicity
-from cinderlog.llm.common import Scratch, in_slices, table
+from cinderlog.llm.common import free_name, in_slices, Scratch, table
 
 #: Most labelled rows to start from, and most to calibrate on.
 LABELLED, APART = 40_000, 10_000
@@ -353,7 +353,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents are not kept."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model, marks = learn(docs, labels), toxicity.learn(docs, labels)
-    harmless = docs.withColumn("_harmless", 1 - toxicity.probability(marks))
-    return score(harmless, model).select(
-        "doc_id", F.least("quality_score", "_harmless").alias("score")
+    harmless, good = free_name(docs, "_harmless"), free_name(docs, "quality_score")
+    told = docs.withColumn(harmless, 1 - toxicity.probability(marks))
+    return score(told, model, out_col=good).select(
+        "doc_id", F.least(good, harmless).alias("score")
     ).withColumn("kept", F.col("score") >= 0.5)

@@ -39,5 +39,16 @@ def test_stages_take_nulls_and_empty_tables(spark, sf):
         corpus_pipeline.STAGES[-1][1](spark, rows, sf).count()
 
 
+def test_columns_of_the_users_named_like_ours(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ["_quality", "_before", "row_key", "_row_key", "_stay", "quality_score", "_harmless"]
+    more = docs.select("*", *[F.col("doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, more, sf).cache()
+        assert out.columns == more.columns
+        assert out.where(" or ".join(f"{n} <> doc_id" for n in names)).count() == 0
+    corpus_pipeline.STAGES[-1][1](spark, more, sf).count()
+
+
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
