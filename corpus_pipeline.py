@@ -9,16 +9,18 @@ shared folder.
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinderlog.llm import decontamination, line_dedup, minhash, packing, quality, toxicity
-from cinderlog.llm.common import Scratch, join_on, table
+from cinderlog.llm.common import Scratch, free_name, join_on, table
 from cinderlog.session import shared_folder
 
 
-_left: list[str] = []
+#: Roots of the scratch tables of the stage before, per thread.
+_left: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
 
 
 def _stage(function):
@@ -26,10 +28,11 @@ def _stage(function):
 
     @wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        Scratch.drop(spark, _left)
-        first = len(Scratch.roots)
-        out = function(spark, docs, sf_dir)
-        _left[:] = Scratch.roots[first:]
+        Scratch.drop(spark, list(_left.get()))
+        _left.set(())
+        with Scratch.noting() as roots:
+            out = function(spark, docs, sf_dir)
+        _left.set(tuple(roots))
         return out
 
     return run_stage
@@ -39,8 +42,8 @@ def _stage(function):
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier doesn't reject."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out_col="_quality")
-    return scored.where(F.col("_quality") >= 0.5).drop("_quality")
+    name = free_name(docs, "_quality")
+    return quality.score(docs, model, out_col=name).where(F.col(name) >= 0.5).drop(name)
 
 
 @_stage
@@ -52,11 +55,12 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     marks = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     docs = docs.where(toxicity.probability(marks) < 0.5)
-    less = line_dedup.dedup_lines(docs.withColumn("_before", F.col("text")), least_equal=line_dedup.LEAST_EQUAL)
+    before = free_name(docs, "_before")
+    less = line_dedup.dedup_lines(docs.withColumn(before, F.col("text")), least_equal=line_dedup.LEAST_EQUAL)
     full = lambda name: F.coalesce(F.col(name).rlike(r"\S"), F.lit(False))
     return (
-        less.where(full("text") | ~full("_before"))
-        .drop("_before")
+        less.where(full("text") | ~full(before))
+        .drop(before)
         .withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     )
 
@@ -73,9 +77,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold less than a twentieth of benchmark text."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where(decontamination.is_contaminated()).select("doc_id", "row_key").distinct()
-    keyed = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return join_on(keyed, gone, ["doc_id", "row_key"], "left_anti").select(*docs.columns)
+    key = free_name(docs, "_row_key")
+    gone = found.where(decontamination.is_contaminated()).select("doc_id", F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    return join_on(keyed, gone, ["doc_id", key], "left_anti").select(*docs.columns)
 
 
 @_stage
