@@ -5,11 +5,12 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cinderlog.llm.common import Scratch
 from cinderlog.llm.components import components
 from cinderlog.llm.decontamination import contamination
-from cinderlog.llm.line_dedup import dedup_lines, line_classes, within
+from cinderlog.llm.line_dedup import dedup_lines, line_classes, not_ruled_out, within
 from cinderlog.llm.minhash import near_duplicates, shingle_set, signature, _deputies
 
 
@@ -48,6 +49,20 @@ def test_banded_edit_distance(spark):
             assert r.near == (edits(r.a, r.b) <= threshold), r
 
 
+def test_nothing_near_is_ruled_out(spark):
+    draw = random.Random(12)
+    rows = [("", ""), ("", "ab"), ("aa", "aaaa"), ("abab", "ab"), ("aab", "aba")]
+    for _ in range(400):
+        a = "".join(draw.choice("abé") for _ in range(draw.randint(0, 12)))
+        rows.append((a, edited(draw, a, draw.randint(0, 5), "abé")))
+    df = spark.createDataFrame(rows, "a string, b string")
+    for threshold in (1, 2, 3):
+        found = df.select("a", "b", not_ruled_out(F.col("a"), F.col("b"), threshold).alias("may")).collect()
+        assert all(r.may for r in found if edits(r.a, r.b) <= threshold)
+        if threshold <= 2:  # with so few edits it rules out all others
+            assert not any(r.may for r in found if edits(r.a, r.b) > threshold)
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 3])
 def test_line_links_against_brute_force(spark, threshold):
     draw = random.Random(threshold)
