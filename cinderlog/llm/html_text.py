@@ -41,7 +41,7 @@ LEAF = frozenset("p pre h1 h2 h3 h4 h5 h6 li dt dd figcaption caption th option
 #: Tags that are never part of the article.
 CUT = frozenset(
     "head nav header footer aside form menu dialog button select option input textarea label "
-    "script style noscript template iframe svg math canvas object embed audio video title".split()
+    "script style noscript template iframe svg canvas object embed audio video title".split()
 )
 CUT_ROLES = frozenset(
     "navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split()
@@ -57,6 +57,13 @@ CUT_ALWAYS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
     "comment comments commentlist disqus respond replies reply".split()
 )
+#: What such a word may be joined with in one class name and still mean the same part.
+LAYOUT = frozenset(
+    "area bar block body bottom box center column container content form group holder inner items "
+    "left link links list main item outer page panel post right section site slot top unit widget wrap wrapper".split()
+)
+#: Elements that no name cuts.
+WHOLE = frozenset("#page html body main article".split())
 GOOD_NAMES = frozenset("article body content entry main page post story text blog hentry".split())
 #: What an opening tag closes, up to the nearest element of the third item.
 CLOSES = {
@@ -173,20 +180,29 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _named(attributes: str) -> tuple[set[str], str, bool]:
-    """(words of class and id, role, whether hidden)."""
-    words, role, hidden = set(), "", False
+def _named(attributes: str) -> tuple[set[str], set[str], str, bool]:
+    """(words of class and id, those that name the part, role, whether hidden).
+
+    A class name names a part if it is a word, or a word and layout: `ad-box` an ad, but
+    neither `ad-free` nor `related-work` an ad or related pages.
+    """
+    words, parts, role, hidden = set(), set(), "", False
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name in ("class", "id"):
-            words.update(re.findall("[a-z]+", value))
+            for one in value.split():
+                own = re.findall("[a-z]+", one)
+                words.update(own)
+                named = [w for w in own if w not in LAYOUT]
+                if all(w in CUT_NAMES or w in CUT_ALWAYS for w in named):
+                    parts.update(own)
         elif name == "role":
             role = value
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         else:
             hidden |= name == "hidden" or value == "true"
-    return words, role, hidden
+    return words, parts, role, hidden
 
 
 def _runs(tree: Tree) -> list[tuple[int, str, int]]:
@@ -215,7 +231,7 @@ def main_text(page: str) -> str:
     tree = parse(page)
     count = len(tree.tags)
     runs = _runs(tree)
-    names = [_named(a) if a.strip() else (frozenset(), "", False) for a in tree.attributes]
+    names = [_named(a) if a.strip() else (frozenset(), frozenset(), "", False) for a in tree.attributes]
 
     # cut what is no article; a name of layout doesn't cut what holds most of the text
     total = sum(len(t) - n for _, t, n in runs) or 1
@@ -226,15 +242,18 @@ def main_text(page: str) -> str:
         held[tree.parents[k]] += held[k]
     cut = [False] * count
     for k in range(1, count):
-        words, role, hidden = names[k]
-        inline = tree.tags[k] not in BLOCK
+        _, named, role, hidden = names[k]
+        tag = tree.tags[k]
+        by_name = tag in BLOCK and tag not in WHOLE
+        most = held[k] >= 0.6 * total
         cut[k] = (
             cut[tree.parents[k]]
-            or tree.tags[k] in CUT
-            or role in CUT_ROLES
+            # a form around the page is no form of it; its fields are cut one by one
+            or (tag in CUT and not (tag == "form" and most))
+            or (role in CUT_ROLES and tag not in WHOLE)
             or hidden
-            or bool(words & CUT_ALWAYS)
-            or (not inline and bool(words & CUT_NAMES) and held[k] < 0.6 * total and tree.tags[k] not in ("body", "html", "article", "main"))
+            or (by_name and bool(named & CUT_ALWAYS))
+            or (by_name and bool(named & CUT_NAMES) and not most)
         )
 
     # points climb from paragraphs to their ancestors
@@ -279,7 +298,7 @@ def main_text(page: str) -> str:
         whole = bool(named)
         if named:
             best = named[-1]  # the outermost article, or else the outermost main element
-        elif beside and tree.tags[best] not in ("html", "body"):
+        elif tree.tags[best] not in ("html", "body") and (beside or names[tree.parents[best]][0] & GOOD_NAMES):
             best = tree.parents[best]
         keep[best] = True
         paragraphs: dict[int, list[str]] = {}
