@@ -26,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -152,12 +153,13 @@ class Encoders:
             told = [known[x] for x in row]
             spelled = told and None not in told
             out.append((b"".join([x[0] for x in told]), b"".join([x[1] for x in told])) if spelled else None)
+        for x in new:
+            if len(x) > LONGEST:
+                del known[x]
         if len(known) > REMEMBERED:
-            known.clear()
-        else:
-            for x in new:
-                if len(x) > LONGEST:
-                    del known[x]
+            # frequent stretches were met early: the older half stays
+            for x in list(islice(reversed(known), len(known) - REMEMBERED // 2)):
+                del known[x]
         return out
 
 
