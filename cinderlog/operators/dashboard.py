@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.display import count_text, duration_text, half_up, plural
-from ..sources.runs import Run, bucket_rows, filled_rows, run_buckets
+from ..sources.runs import Run, bucket_rows, run_buckets
 from .correlation import EDGE_ORDER
 from .severity import severity_rank
 
@@ -79,16 +79,10 @@ def kpis(run: Run) -> DataFrame:
 
 
 def timeline(run: Run) -> DataFrame:
-    """Events of incident clusters per bucket, one column per severity. Only filled buckets
-    are added up; the others follow from the window."""
-    severities = run.incidents.select("cluster_id", F.col("severity").alias("incident_severity"))
-    behind = run.clusters.join(severities, "cluster_id")
-    counted = (
-        filled_rows(behind, "incident_severity")
-        .groupBy("bucket_idx")
-        .pivot("incident_severity", list(fixed.SEVERITIES))
-        .sum("events")
-    )
+    """Events of incident clusters per bucket, one column per severity, from the states
+    stored with the run. Empty buckets follow from the window."""
+    behind = run.states.filter(F.col("severity").isNotNull())
+    counted = behind.groupBy("bucket_idx").pivot("severity", list(fixed.SEVERITIES)).sum("events")
     return (
         run_buckets(behind)
         .join(counted, "bucket_idx", "left")
@@ -289,18 +283,17 @@ def severity_shares(run: Run) -> DataFrame:
 
 
 def trends(run: Run) -> DataFrame:
-    """Events of error and of warning clusters per bucket, added up from filled buckets."""
+    """Events of error and of warning clusters per bucket, from the states stored with the run."""
     level, n = F.col("level"), F.col("events")
     counted = (
-        filled_rows(run.clusters, "level")
-        .groupBy("bucket_idx")
+        run.states.groupBy("bucket_idx")
         .agg(
             F.sum(F.when(level.isin(*fixed.ERROR_LEVELS), n).otherwise(0)).alias("errors"),
             F.sum(F.when(level.isin(*fixed.WARNING_LEVELS), n).otherwise(0)).alias("warnings"),
         )
     )
     return (
-        run_buckets(run.clusters)
+        run_buckets(run.states)
         .join(counted, "bucket_idx", "left")
         .na.fill(0, ["errors", "warnings"])
         .select("bucket_ts", "errors", "warnings")

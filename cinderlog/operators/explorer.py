@@ -11,6 +11,7 @@ from ..functions.masks import normalize
 from ..functions.regex import WHITESPACE
 from ..sources.runs import Run, bucket_list, bucket_rows
 from .correlation import EDGE_ORDER
+from .search import SEARCHED, joined_text, may_hold
 from .severity import factor_rows, severity_rank
 
 INCIDENT_COLUMNS = (
@@ -20,10 +21,11 @@ INCIDENT_COLUMNS = (
 )
 
 
-def with_baseline(run: Run) -> DataFrame:
+def with_baseline(run: Run, incidents: DataFrame | None = None) -> DataFrame:
     """Incidents with the baseline rate of their cluster, 0 without a cluster."""
     rates = run.clusters.select("cluster_id", "baseline_rate")
-    return run.incidents.join(rates, "cluster_id", "left").withColumn(
+    found = run.incidents if incidents is None else incidents
+    return found.join(rates, "cluster_id", "left").withColumn(
         "baseline_rate", F.coalesce("baseline_rate", F.lit(0.0))
     )
 
@@ -41,7 +43,7 @@ def matches(needle: str | None) -> Column:
         return F.lit(True)
     wanted = F.lit(needle.lower())
     found = F.lit(False)
-    for column in ("title", "service", "incident_id", "cluster_id"):
+    for column in SEARCHED:
         found = found | F.contains(F.lower(F.coalesce(column, F.lit(""))), wanted)
     return found
 
@@ -49,8 +51,13 @@ def matches(needle: str | None) -> Column:
 def matches_joined(needle: str | None) -> Column:
     """Trimmed needle in the four fields joined with blanks, so it may span two of them."""
     wanted = (needle or "").strip(WHITESPACE).lower()
-    fields = F.concat_ws(" ", "incident_id", "title", F.coalesce("service", F.lit("")), "cluster_id")
-    return F.contains(F.lower(fields), F.lit(wanted))
+    return F.contains(F.lower(joined_text()), F.lit(wanted))
+
+
+def search_joined(run: Run, needle: str | None) -> DataFrame:
+    """Incidents with the trimmed needle in their joined fields."""
+    wanted = (needle or "").strip(WHITESPACE).lower()
+    return with_baseline(run, may_hold(run.incidents, run.grams, wanted)).filter(matches_joined(needle))
 
 
 def severity_order() -> list[Column]:
@@ -70,8 +77,9 @@ def list_incidents(
     needle: str | None = None,
     sort: str = "severity",
 ) -> DataFrame:
+    found = may_hold(run.incidents, run.grams, (needle or "").lower())
     return (
-        with_baseline(run)
+        with_baseline(run, found)
         .filter(has_label("severity", severity) & has_label("status", status) & matches(needle))
         .orderBy(*sort_order(sort))
         .select(*INCIDENT_COLUMNS)

@@ -69,6 +69,50 @@ def number_rows(df: DataFrame, order: str, target: str) -> DataFrame:
     return running_sum(df, order, F.lit(1), target).withColumn(target, F.col(target) + 1)
 
 
+def with_previous(df: DataFrame, order: str, target: str, value: Column) -> DataFrame:
+    """Adds ``target``: ``value`` of the row before, by a column without ties; null in the
+    first row. The last row of each split is carried on to the split after it."""
+    held = df.withColumn("_held", F.struct(value.alias("value"))).orderBy(order)
+    rows = _sorted_splits(Workspace(df.sparkSession), held)
+    ends = rows.groupBy("_path", "_start").agg(F.max_by("_held", order).alias("_end"))
+    carried = ends.select("_path", "_start", F.lag("_end").over(W.orderBy("_path", "_start")).alias("_carried"))
+    inside = W.partitionBy("_path", "_start").orderBy(order)
+    return (
+        rows.join(carried, ["_path", "_start"])
+        .withColumn(target, F.coalesce(F.lag("_held").over(inside), F.col("_carried"))["value"])
+        .drop("_path", "_start", "_held", "_carried")
+    )
+
+
+def spans(numbers: DataFrame, column: str, most: int, least_gap: int) -> list[tuple[int, int]]:
+    """At most ``most`` ranges, in order, that hold every number of a column: all of it, cut
+    at the widest gaps of ``least_gap`` and more. None for a table without numbers."""
+    distinct = numbers.select(F.col(column).cast("bigint").alias("at")).filter("at IS NOT NULL").distinct()
+    ends = distinct.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    if ends["low"] is None:
+        return []
+    gaps: list = []
+    # one pass more only where there can be gaps worth cutting
+    if ends["high"] - ends["low"] >= most * least_gap // 8:
+        paired = with_previous(distinct, "at", "before", F.col("at")).select("before", "at")
+        wide = paired.filter(F.col("at") - F.col("before") >= least_gap)
+        gaps = sorted(tuple(r) for r in wide.orderBy(F.desc(F.col("at") - F.col("before")), "at").limit(most - 1).collect())
+    lows = [ends["low"], *(after for _, after in gaps)]
+    highs = [*(before for before, _ in gaps), ends["high"]]
+    return list(zip(lows, highs))
+
+
+def within(column: str, ranges: list[tuple[int, int]]) -> Column:
+    """The number lies in one of the ranges, as a balanced tree of comparisons that the
+    Parquet reader takes to skip row groups and pages."""
+    if not ranges:
+        return F.lit(False)
+    if len(ranges) == 1:
+        return F.col(column).between(*map(F.lit, ranges[0]))
+    half = len(ranges) // 2
+    return within(column, ranges[:half]) | within(column, ranges[half:])
+
+
 def in_file_order(read: DataFrame, target: str, first: int = 1) -> DataFrame:
     """Numbers the rows of a file scan in the order (file, position in file).
 

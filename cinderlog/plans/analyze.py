@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.masks import normalize
-from ..operators import anomaly, correlation, frequency, incidents, mining, severity, templates
+from ..operators import anomaly, correlation, frequency, incidents, mining, numbering, severity, templates
 from ..operators.parse import parse_lines, synthetic_clock
 from ..session import Workspace
 
 # Sample lines are fetched by broadcasting their line numbers up to this many rows,
 # by a shuffle join beyond it.
 BROADCAST_LINES = 2_000_000
+# They are looked for in up to this many ranges of line numbers, cut at gaps of at least one
+# Parquet page.
+SAMPLE_RANGES, PAGE_ROWS = 128, 20_000
 
 
 @dataclass(frozen=True)
@@ -108,7 +111,8 @@ def _samples(
     workspace: Workspace, events: DataFrame, steps: _Steps, facts: DataFrame
 ) -> DataFrame:
     """``(created, example, examples)``: the first message that is not empty and the first
-    raw lines. Lines are chosen by number alone; texts are fetched for the chosen ones."""
+    raw lines. Lines are chosen by number alone; texts are fetched for the chosen ones, from
+    the parts of the files that hold any."""
     named = events.select(mining.sequence_text(F.col("masked")).alias("sequence"), "line_no")
     first = templates.first_lines(named, "sequence").join(steps.staying, "sequence")
     first = first.select("created", "line_no")
@@ -123,15 +127,11 @@ def _samples(
         .withColumn("place", F.lit(0))
     )
     chosen = workspace.table(first.unionByName(worded.select(*first.columns)), "sample-lines")
-    size = chosen.agg(
-        F.count("*").alias("rows"), F.min("line_no").alias("first"), F.max("line_no").alias("last")
-    ).first()
-    if size["rows"] <= BROADCAST_LINES:
+    # Row groups and pages outside the ranges, which most are, keep their wide columns unread.
+    ranges = numbering.spans(chosen, "line_no", SAMPLE_RANGES, PAGE_ROWS)
+    if chosen.count() <= BROADCAST_LINES:
         chosen = F.broadcast(chosen)
-    # The range lets the scan skip row groups that hold no chosen line.
-    texts = events.select("line_no", "raw", "message").filter(
-        F.col("line_no").between(size["first"], size["last"])
-    )
+    texts = events.select("line_no", "raw", "message").filter(numbering.within("line_no", ranges))
     texts = texts.join(chosen, "line_no")
     raw_lines = F.array_sort(
         F.collect_list(F.when(F.col("place") > 0, F.struct("place", "raw")))

@@ -940,8 +940,7 @@ def l05_other_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def l06_joined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = explorer.with_baseline(latest(spark, sf_dir))
-    return found.filter(explorer.matches_joined("  API clu ")).select("incident_id")
+    return explorer.search_joined(latest(spark, sf_dir), "  API clu ").select("incident_id")
 
 
 @query

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..operators.frequency import dense
+from ..operators.numbering import with_previous
+from ..operators.search import gram_rows
 from ..plans.analyze import Analysis
 from .commits import Commits, Files
 
@@ -37,7 +38,12 @@ INCIDENT_SCHEMA = """
     run_id bigint, incident_id string, rank bigint, cluster_id string, title string,
     service string, severity string, confidence double, status string,
     anomaly_score double, growth_pct double, count bigint, first_seen timestamp,
-    last_seen timestamp, correlated_ids array<string>
+    last_seen timestamp, correlated_ids array<string>, block bigint
+"""
+GRAM_SCHEMA = "run_id bigint, gram string, block bigint"
+STATE_SCHEMA = """
+    run_id bigint, level string, severity string, bucket_idx int, events bigint,
+    n_buckets int, bucket_start timestamp, bucket_seconds bigint
 """
 CORRELATION_SCHEMA = """
     run_id bigint, upstream_id string, downstream_id string, kind string, detail string,
@@ -53,7 +59,11 @@ SCHEMAS = {
     "incidents": INCIDENT_SCHEMA,
     "correlations": CORRELATION_SCHEMA,
     "explanations": EXPLANATION_SCHEMA,
+    "grams": GRAM_SCHEMA,
+    "states": STATE_SCHEMA,
 }
+#: Incidents per block, by rank; a block is a folder of its own.
+BLOCK = 65_536
 #: What a commit names: the row of each run, the folder of its tables, and those of its
 #: explanations.
 MANIFEST_SCHEMA = f"{RUN_SCHEMA}, folder string, explained array<string>"
@@ -69,6 +79,8 @@ class Run:
     correlations: DataFrame
     explanations: DataFrame
     previous: DataFrame
+    grams: DataFrame  # trigrams of the searched texts and the blocks of incidents they occur in
+    states: DataFrame  # events by level, severity of the incident (null: none) and filled bucket
 
 
 def _bucket_ts(index: Column) -> Column:
@@ -98,9 +110,23 @@ def filled_rows(clusters: DataFrame, *keys: str) -> DataFrame:
     return clusters.select(*keys, F.inline("filled"))
 
 
-def run_buckets(clusters: DataFrame) -> DataFrame:
+def bucket_states(clusters: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Events by level of the cluster, severity of its incident and filled bucket: what pages
+    over time add up, in rows that don't grow with the clusters."""
+    severities = incidents.select("cluster_id", F.col("severity").alias("incident_severity"))
+    shared = ("n_buckets", "bucket_start", "bucket_seconds")
+    return (
+        filled_rows(
+            clusters.drop("severity").join(severities, "cluster_id", "left"), "level", "incident_severity", *shared
+        )
+        .groupBy("level", F.col("incident_severity").alias("severity"), "bucket_idx", *shared)
+        .agg(F.sum("events").alias("events"))
+    )
+
+
+def run_buckets(series: DataFrame) -> DataFrame:
     """``(bucket_idx, bucket_ts)``: the buckets all series of a run share; none without series."""
-    shared = clusters.agg(*[F.max(c).alias(c) for c in ("n_buckets", "bucket_start", "bucket_seconds")])
+    shared = series.agg(*[F.max(c).alias(c) for c in ("n_buckets", "bucket_start", "bucket_seconds")])
     places = F.sequence(F.lit(0), F.col("n_buckets") - 1)
     return shared.select(
         F.explode(places).alias("bucket_idx"), "bucket_start", "bucket_seconds"
@@ -190,9 +216,9 @@ class RunStore:
             return self._read(name, [(r.run_id, f) for r in runs for f in r.explained])
         return self._read(name, [(r.run_id, r.folder) for r in runs])
 
-    def _stage(self, name: str, df: DataFrame, run_id: int, folder: str) -> None:
+    def _stage(self, name: str, df: DataFrame, run_id: int, folder: str, by: tuple[str, ...] = ()) -> None:
         columns = [f.name for f in self._read(name, []).schema if f.name != "run_id"]
-        df.select(*columns).write.parquet(self._folder(name, run_id, folder))
+        df.select(*columns).write.partitionBy(*by).parquet(self._folder(name, run_id, folder))
 
     def next_id(self) -> int:
         return (self.manifest().agg(F.max("run_id")).first()[0] or 0) + 1
@@ -210,7 +236,10 @@ class RunStore:
         run_id = self._claim(run_id, replace)
         folder = uuid.uuid4().hex
         self._stage("clusters", analysis.clusters, run_id, folder)
-        self._stage("incidents", analysis.incidents, run_id, folder)
+        blocks = analysis.incidents.withColumn("block", F.floor(F.col("rank") / BLOCK))
+        self._stage("incidents", blocks, run_id, folder, ("block",))
+        self._stage("grams", gram_rows(blocks), run_id, folder)
+        self._stage("states", bucket_states(analysis.clusters, analysis.incidents), run_id, folder)
         self._stage("correlations", analysis.correlations, run_id, folder)
         clusters = analysis.clusters.agg(F.count("*")).scalar()
         counts = analysis.counts.select(F.struct("*")).scalar()
@@ -269,6 +298,8 @@ class RunStore:
             part("correlations", folders),
             newest(part("explanations", [(run_id, f) for f in row.explained] if row else [])),
             previous_run(runs, run_id),
+            part("grams", folders),
+            part("states", folders),
         )
 
 
@@ -292,7 +323,10 @@ def previous_run(runs: DataFrame, run_id: int) -> DataFrame:
 
 def run_history(runs: DataFrame) -> DataFrame:
     """Every run with the id and size of the run before it."""
-    order = W.orderBy("run_id")
-    return runs.withColumn("previous_id", F.lag("run_id").over(order)).withColumn(
-        "previous_event_count", F.lag("event_count").over(order)
+    before = F.struct("run_id", "event_count")
+    return (
+        with_previous(runs, "run_id", "_before", before)
+        .withColumn("previous_id", F.col("_before.run_id"))
+        .withColumn("previous_event_count", F.col("_before.event_count"))
+        .drop("_before")
     )
