@@ -182,8 +182,9 @@ def _cut(ids: bytes, first: int, start: int, at: int, plan: Plan, window: int):
         done += n
 
 
-def pieces(df: DataFrame, id_col: str, text_col: str, path: str, window: int) -> DataFrame:
-    """Whole windows and the remainder of every document; only a remainder keeps its ids."""
+def pieces(df: DataFrame, id_col: str, text_col: str, path: str, window: int, all_ids: bool) -> DataFrame:
+    """Whole windows and the remainder of every document; a remainder keeps its ids, a whole
+    window only if asked to."""
     id_type = df.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("doc_id", id_type)]
@@ -202,7 +203,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, window: int) ->
                 take.append(k)
                 for to, value in zip(
                     rows[1:],
-                    (at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if len(part) < step else None),
+                    (at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4, part if all_ids or len(part) < step else None),
                 ):
                     to.append(value)
         columns = [batch.column(0).take(pa.array(take, pa.int64()))]
@@ -219,12 +220,14 @@ def pack(
     tokenizer: str | None = None,
     window: int = WINDOW,
     depth: int = DEPTH,
+    all_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     `ids` (little-endian unsigned 32-bit) is given for pieces shorter than the window, as
     only those come from a cut that isn't on a multiple of it; the others are the ids
-    start .. start + window of their document. The window is a power of two.
+    start .. start + window of their document. With `all_ids` every piece carries its ids,
+    at the price of moving them all. The window is a power of two.
 
     Null text counts as empty, and an empty text is the closing id alone. Rows that repeat,
     ids included, are packed as often as they occur. A null id is kept. An empty table gives
@@ -234,7 +237,7 @@ def pack(
     if window & (window - 1):
         raise ValueError("the window must be a power of two")
     work = Scratch(spark, "pack")
-    cut = work.table(pieces(df, id_col, text_col, tokenizer or public_tokenizer(), window), "pieces")
+    cut = work.table(pieces(df, id_col, text_col, tokenizer or public_tokenizer(), window, all_ids), "pieces")
 
     bars = cut.groupBy("length").count().collect()  # at most one row per length up to the window
     counts = np.zeros(window + 1, np.int64)
@@ -291,7 +294,7 @@ def pack(
         ids = [batch.column(5)[i].as_py() for i in take]
         for i in np.flatnonzero(~whole):
             held = batch.column(5)[int(i)].as_py()
-            if held is None:
+            if length[i] == window:
                 # a whole window in the stream: the stream's longest pieces come first, so
                 # it starts a sequence and isn't cut
                 parts = [(int(start[i]), window, int(crc[i]), plan.stream + int(step[i]), 0)]

@@ -13,6 +13,9 @@ from cinderlog.llm.tokens import encoder, public_tokenizer
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
+#: Context limits and quantiles the query answers.
+LIMITS = (128, 256, 512, 1024, 2048, 4096, 8192, 16_384, 32_768, 65_536, 131_072)
+QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
 
 
 def length_histogram(
@@ -123,6 +126,25 @@ def quantiles(sums: DataFrame, at: Sequence[float]) -> DataFrame:
     )
 
 
+def with_limits(histogram: DataFrame, limits: Sequence[int]) -> DataFrame:
+    """The histogram with a row for every limit, of no documents where none has that length,
+    so that the sums over it answer the limits too. An empty table has rows for the limits
+    alone; a limit that is named twice has one row."""
+    asked = histogram.sparkSession.createDataFrame([(int(x), 0) for x in limits], "n_tokens long, n_docs long")
+    return histogram.unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+
+
+def with_quantiles(sums: DataFrame, at: Sequence[float]) -> DataFrame:
+    """One more column `quantiles`: the shares, joined by commas, of which this is the smallest
+    length that at least so many of the documents stay within; mostly empty."""
+    total = F.col("docs_below") + F.col("docs_ge")
+    below, upto = F.col("docs_below") / total, (F.col("docs_below") + F.col("n_docs")) / total
+    here = [F.when((below < q) & (upto >= q), F.lit(str(q))) for q in at]
+    return sums.withColumn("quantiles", F.when(total > 0, F.concat_ws(",", *here)).otherwise(""))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The length histogram of all documents with its suffix sums."""
-    return suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    """The length histogram of all documents with its suffix sums, at the lengths that occur
+    and at the usual context limits, and the quantiles."""
+    counted = with_limits(length_histogram(table(spark, sf_dir, "documents")), LIMITS)
+    return with_quantiles(suffix_sums(counted), QUANTILES).withColumn("is_limit", F.col("n_tokens").isin(*LIMITS))

@@ -19,8 +19,6 @@ from cinderlog.llm.decontamination import let
 
 #: Most labelled rows the words are counted in.
 LABELLED = 40_000
-#: Most marks; those with the most evidence are taken.
-MARKS = 512
 #: Marks expected by chance, over all that are tried.
 BY_CHANCE = 0.1
 #: Letters of a stem.
@@ -120,8 +118,7 @@ def learn(
         .withColumn("evidence", _evidence(F.col("a"), F.col("b"), toxic, clean))
         .where(F.col("evidence") >= least)
         .orderBy(F.desc("evidence"), "word")
-        .limit(MARKS)
-        .collect()
+        .collect()  # cases of at most about `labelled` documents
     )
     weight = lambda r: math.log((r["a"] + 0.5) / (toxic + 1)) - math.log((r["b"] + 0.5) / (clean + 1))
     return Marks({r["word"]: weight(r) for r in found}, math.log(toxic / clean))

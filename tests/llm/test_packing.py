@@ -7,7 +7,9 @@ import pytest
 from tokenizers import Tokenizer
 
 from cinderlog.llm.packing import WINDOW, fillings, make_plan, pack, solve
-from cinderlog.llm.token_counts import length_histogram, quantiles, suffix_sums, truncated_totals
+from cinderlog.llm.token_counts import (
+    LIMITS, QUANTILES, length_histogram, op2_token_counts, quantiles, suffix_sums, truncated_totals, with_limits, with_quantiles,
+)
 from cinderlog.llm.tokens import Encoder, public_tokenizer
 
 SCHEMA = "doc_id long, text string, length string, sequence_id long, ids string"
@@ -139,3 +141,26 @@ def test_histogram_and_suffix_sums(spark, sf, tokenizer):
     ordered = sorted(lengths)
     assert got == {q: ordered[-(-int(q * 1000) * len(ordered) // 1000) - 1] for q in (0.1, 0.5, 1.0)}
     assert suffix_sums(length_histogram(df.limit(0))).collect() == []
+
+
+def test_the_query_answers_limits_and_quantiles(spark, sf, tokenizer):
+    lengths = [len(ids_of(tokenizer, r.text)) - 1 for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    rows = {r.n_tokens: r for r in op2_token_counts(spark, sf).collect()}
+    assert set(rows) == set(lengths) | set(LIMITS)
+    asked = {}
+    for n, r in rows.items():
+        assert r.n_docs == lengths.count(n) and r.is_limit == (n in LIMITS)
+        assert (r.docs_ge, r.docs_below) == (sum(x >= n for x in lengths), sum(x < n for x in lengths))
+        assert r.truncated_tokens == sum(min(x, n) for x in lengths)
+        asked |= {float(q): n for q in r.quantiles.split(",") if q}
+    want = {q: min(n for n in lengths if sum(x <= n for x in lengths) / len(lengths) >= q) for q in QUANTILES}
+    assert asked == want
+
+
+def test_limits_and_quantiles_of_nothing_and_of_ties(spark):
+    schema = "n_tokens long, n_docs long"
+    none = with_quantiles(suffix_sums(with_limits(spark.createDataFrame([], schema), [4, 4, 8])), [0.5]).collect()
+    assert sorted((r.n_tokens, r.n_docs, r.truncated_tokens, r.quantiles) for r in none) == [(4, 0, 0, ""), (8, 0, 0, "")]
+    ties = spark.createDataFrame([(5, 4), (9, 4)], schema)
+    got = with_quantiles(suffix_sums(with_limits(ties, [7])), [0.5, 0.51, 1.0]).collect()
+    assert {r.n_tokens: r.quantiles for r in got} == {5: "0.5", 7: "", 9: "0.51,1.0"}

@@ -1,7 +1,10 @@
+import zlib
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
 from cinderlog.llm.queries import LLM_QUERIES
+from cinderlog.llm.tokens import encoder, public_tokenizer
 
 
 def test_stages(spark, sf):
@@ -26,6 +29,12 @@ def test_stages(spark, sf):
     pieces = corpus_pipeline.STAGES[-1][1](spark, before, sf)
     total = pieces.agg(F.sum("length")).first()[0]
     assert total == pieces.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
+    code, parts = encoder(public_tokenizer()), {}
+    for r in pieces.collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+        parts.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for r in before.collect():
+        assert b"".join(ids for _, ids in sorted(parts[r.doc_id])) == code.packed(r.text) + bytes(4)
 
 
 def test_stages_take_nulls_and_empty_tables(spark, sf):
