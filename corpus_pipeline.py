@@ -85,8 +85,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 @_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All remaining documents in sequences of at most 1024 tokens."""
-    return packing.pack(docs).drop("ids")
+    """All remaining documents in sequences of at most 1024 tokens, with the token ids."""
+    return packing.pack(docs, all_ids=True)
 
 
 STAGES = [
