@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cinderlog.llm.common import SLICE, table, texts
+from cinderlog.llm.common import SLICE, Scratch, table, texts
 from cinderlog.llm.tokens import encoder, public_tokenizer
 
 #: Lengths per block of the two-level sums.
@@ -146,5 +146,7 @@ def with_quantiles(sums: DataFrame, at: Sequence[float]) -> DataFrame:
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length histogram of all documents with its suffix sums, at the lengths that occur
     and at the usual context limits, and the quantiles."""
-    counted = with_limits(length_histogram(table(spark, sf_dir, "documents")), LIMITS)
+    # written, as the sums read it twice and no text should be encoded twice
+    histogram = Scratch(spark, "token-counts").table(length_histogram(table(spark, sf_dir, "documents")), "histogram")
+    counted = with_limits(histogram, LIMITS)
     return with_quantiles(suffix_sums(counted), QUANTILES).withColumn("is_limit", F.col("n_tokens").isin(*LIMITS))
