@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cinderlog.operators import mining
 from cinderlog.plans.catalog import QUERIES
 from cinderlog.sources.lines import spread
 
@@ -41,3 +42,17 @@ def test_scan_of_many_rows_is_spread(spark, tmp_path):
     parts = spread(scan, rows_per_task=10).select(F.spark_partition_id().alias("p"), "id")
     assert parts.select("p").distinct().count() == max(cores, 100)
     assert parts.select("id").distinct().count() == 1000
+
+
+def test_first_of_leaves_sorts_little_more_than_a_block(spark, workspace):
+    rows = [("a", 7 * i, ["x", str(i)]) for i in range(2000)] + [("b", i, ["y"]) for i in range(30)]
+    rows += [("c", i if i < 300 else 10**17 + i, ["z"]) for i in range(400)]  # lines far apart
+    table = spark.createDataFrame(rows, "leaf string, first_line bigint, tokens array<string>")
+    remaining = workspace.table(table, "remaining")
+    found = mining.first_of_leaves(remaining, 100)
+    got = sorted((r.leaf, r.first_line) for r in found.collect())
+    assert got == sorted(
+        [("a", 7 * i) for i in range(100)] + [("b", i) for i in range(30)] + [("c", i) for i in range(100)]
+    )
+    reached = mining.reached_lines(remaining, 100).groupBy("leaf").count().collect()
+    assert {r.leaf: r["count"] for r in reached}["a"] <= 107
