@@ -160,12 +160,12 @@ def make_plan(counts: np.ndarray, window: int = WINDOW, depth: int = DEPTH) -> P
     return Plan(key, seq, at, sequence, full, np.array(cuts or [0], np.int64))
 
 
-def _cut(ids: bytes, first: int, start: int, at: int, plan: Plan, window: int):
-    """The parts of a residual piece that begins at `at` of the stream.
+def _cut(total: int, at: int, plan: Plan, window: int):
+    """The parts of a residual piece of `total` ids that begins at `at` of the stream.
 
-    Yields (start in the document, length, crc, sequence, offset).
+    Yields (ids of the piece before it, length, sequence, offset).
     """
-    done, total = 0, len(ids) // 4
+    done = 0
     while done < total:
         number, offset = divmod(at + done, window)
         end = window
@@ -177,11 +177,46 @@ def _cut(ids: bytes, first: int, start: int, at: int, plan: Plan, window: int):
             offset -= (base := int(plan.cuts[k]))
             end -= base
         n = min(total - done, end - offset)
-        part = ids[4 * done : 4 * (done + n)]
-        yield start + done, n, zlib.crc32(part), sequence, offset
+        yield done, n, sequence, offset
         done += n
 
 
+def placing(plan: Plan, window: int):
+    """A function of a piece's length and rank: its parts in the order of their ids."""
+    part = pa.struct([(name, pa.int64()) for name in ("skip", "length", "sequence_id", "offset")])
+
+    @F.arrow_udf("array<struct<skip long, length long, sequence_id long, offset long>>")
+    def parts(length: pa.Array, rank: pa.Array) -> pa.Array:
+        length, rank = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
+        entry = np.searchsorted(plan.key, (length << 40) | rank, "right") - 1
+        step = rank - (plan.key[entry] & ((1 << 40) - 1))
+        seq, at = plan.seq[entry], plan.at[entry]
+        whole = seq >= 0
+        # a whole window in the stream: the stream's longest pieces come first, so it starts a
+        # sequence and isn't cut
+        alone = ~whole & (length == window)
+        skip, sizes = np.zeros_like(length), length
+        sequence = np.where(whole, seq + step, plan.stream + step)
+        offset = np.where(whole, at, 0)
+        counts = np.ones(len(length), np.int32)
+        cut = {i: list(_cut(int(length[i]), int(at[i] + step[i] * length[i]), plan, window))
+               for i in np.flatnonzero(~whole & ~alone).tolist()}
+        if cut:
+            for i, found in cut.items():
+                counts[i] = len(found)
+            first = np.cumsum(counts) - counts
+            columns = [np.repeat(x, counts) for x in (skip, sizes, sequence, offset)]
+            for i, found in cut.items():
+                for column, values in zip(columns, zip(*found)):
+                    column[first[i] : first[i] + len(found)] = values
+            skip, sizes, sequence, offset = columns
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        values = [pa.array(x, pa.int64()) for x in (skip, sizes, sequence, offset)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(values, fields=list(part)))
+
+    return parts
+
+
 def pieces(df: DataFrame, id_col: str, text_col: str, path: str, window: int, all_ids: bool) -> DataFrame:
     """Whole windows and the remainder of every document; a remainder keeps its ids, a whole
     window only if asked to."""
@@ -210,7 +245,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, path: str, window: int, al
         columns += [pa.array(x, pa.int64()) for x in rows[1:5]] + [pa.array(rows[5], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(in_slices(work), schema)
+    return df.select(id_col, text_col).mapInArrow(in_slices(work, column=1), schema)
 
 
 def pack(
@@ -273,47 +308,22 @@ def pack(
             (F.col("first") + F.col("rank") - 1).alias("rank"),
         )
     )
-    out = T.StructType(
-        [cut.schema["doc_id"], T.StructField("start", T.LongType())]
-        + [T.StructField(n, T.LongType()) for n in ("length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
-        + [T.StructField("ids", T.BinaryType())]
+    # only lengths and ranks reach Python: with the ids, its batches would be tens of MB
+    placed = ranked.withColumn("part", F.explode(placing(plan, window)("length", "rank")))
+    skip, length = F.col("part.skip").cast("int"), F.col("part.length").cast("int")
+    ids = F.substring("ids", 4 * skip + 1, 4 * length)
+    whole = F.col("part.length") == F.col("length")
+    return placed.select(
+        "doc_id",
+        (F.col("start") + F.col("part.skip")).alias("start"),
+        "part.length",
+        F.when(whole, F.col("ids_crc32")).otherwise(F.crc32(ids)).alias("ids_crc32"),
+        "doc_tokens",
+        "part.sequence_id",
+        "part.offset",
+        F.when(whole, F.col("ids")).otherwise(ids).alias("ids"),
     )
 
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        start, length, crc, tokens = (batch.column(i).to_numpy() for i in range(1, 5))
-        rank = batch.column(6).to_numpy()
-        entry = np.searchsorted(plan.key, (length << 40) | rank, "right") - 1
-        step = rank - (plan.key[entry] & ((1 << 40) - 1))
-        whole = plan.seq[entry] >= 0
-        w = np.flatnonzero(whole)
-        take = w.tolist()
-        cols = [
-            start[w].tolist(), length[w].tolist(), crc[w].tolist(),
-            (plan.seq[entry[w]] + step[w]).tolist(), plan.at[entry[w]].tolist(),
-        ]
-        ids = [batch.column(5)[i].as_py() for i in take]
-        for i in np.flatnonzero(~whole):
-            held = batch.column(5)[int(i)].as_py()
-            if length[i] == window:
-                # a whole window in the stream: the stream's longest pieces come first, so
-                # it starts a sequence and isn't cut
-                parts = [(int(start[i]), window, int(crc[i]), plan.stream + int(step[i]), 0)]
-            else:
-                at = int(plan.at[entry[i]] + step[i] * length[i])
-                parts = list(_cut(held, 0, int(start[i]), at, plan, window))
-            for part in parts:
-                take.append(int(i))
-                for to, value in zip(cols, part):
-                    to.append(value)
-                skip = part[0] - int(start[i])
-                ids.append(None if held is None else held[4 * skip : 4 * (skip + part[1])])
-        index = pa.array(take, pa.int64())
-        s, n, c, q, o = (pa.array(x, pa.int64()) for x in cols)
-        arrays = [batch.column(0).take(index), s, n, c, pa.array(tokens[take], pa.int64()), q, o]
-        return pa.RecordBatch.from_arrays(arrays + [pa.array(ids, pa.binary())], out.names)
-
-    return ranked.mapInArrow(in_slices(place, 4096), out)
-
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""

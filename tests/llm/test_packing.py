@@ -164,3 +164,13 @@ def test_limits_and_quantiles_of_nothing_and_of_ties(spark):
     ties = spark.createDataFrame([(5, 4), (9, 4)], schema)
     got = with_quantiles(suffix_sums(with_limits(ties, [7])), [0.5, 0.51, 1.0]).collect()
     assert {r.n_tokens: r.quantiles for r in got} == {5: "0.5", 7: "", 9: "0.51,1.0"}
+
+
+def test_ids_are_placed_without_python(spark):
+    """Python gets a piece's length and rank only: batches of ids took an executor's memory."""
+    docs = spark.createDataFrame([(1, "some words " * 900), (2, None), (3, "cut here")], "doc_id long, text string")
+    plan = pack(docs, all_ids=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
+    (python,) = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    called = python[python.index("parts(") :].split(")")[0]
+    assert "length" in called and "rank" in called and "ids" not in called
