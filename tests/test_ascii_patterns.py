@@ -21,7 +21,7 @@ LINES = (
     "a-1 ,-2 (3) 4. .5 1e6 5.6.7 <*>8 8<NUM>",
     "no figures at all", "", " ", "+", "-", "<",
 )
-WIDE = ("é", "Ⅷ", "٣", "²", " ", "�", "ß9", "9ß", "٣.٣.٣.٣", "　")
+WIDE = ("é", "Ⅷ", "٣", "²", "\u00a0", "\ufffd", "ß9", "9ß", "٣.٣.٣.٣", "\u3000")
 
 
 def _python(line: str) -> str:
@@ -54,7 +54,7 @@ def test_digits_of_both_alphabets(spark):
 
 
 def test_line_breaks_with_and_without_rare_ones(spark):
-    breaks = ("\n", "\r\n", "\r", "\n\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " ")
+    breaks = ("\n", "\r\n", "\r", "\n\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
     texts = ["", "a", *breaks, *[f"a{b}{b}b\n{b}c\nä{b}" for b in breaks], "a\nb\n\n", None]
     df = spark.createDataFrame([(x,) for x in texts], "text string")
     wrong = df.filter(~F.split("text", LINE_BREAKS, -1).eqNullSafe(split_lines(F.col("text"))))
